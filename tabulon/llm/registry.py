@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe_reuse import op5_bpe
 from .pii import op9_pii
 from .simhash import op4_simhash
+from .simple8b import op1_simple8b
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_simhash, op9_pii)}
+    return {f.__name__: f for f in (op1_simple8b, op4_simhash, op5_bpe, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
