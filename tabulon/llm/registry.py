@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from .bpe_reuse import op5_bpe
+from .decontaminate import ORACLE_SQL as DECONTAMINATE_SQL
+from .decontaminate import op8_decontaminate
 from .pii import op9_pii
+from .quality import op3_quality
 from .simhash import op4_simhash
 from .simple8b import op1_simple8b
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simple8b, op4_simhash, op5_bpe, op9_pii)}
+    return {f.__name__: f for f in (op1_simple8b, op3_quality, op4_simhash, op5_bpe, op8_decontaminate, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontaminate": DECONTAMINATE_SQL}

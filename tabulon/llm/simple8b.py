@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, saved, table
+from .common import new_path, saved, table, texts
 from .files import attempt_path, one_task_each, opened
 
 #: (ranks, bits of each) by selector.
 SELECTORS = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK, GROUP_IDS, END_ID = 1024, 1 << 21, 2
-MAX_CHUNKS, SLICE_BYTES = 1_000_000, 4 << 20
+MAX_CHUNKS, SLICE_BYTES, PACKED_AT_ONCE = 400_000, 1 << 20, BLOCK << 8
 _COUNT = np.array([n for n, _ in SELECTORS], np.int64)
 _HEAD = struct.Struct("<4sIQIIQ")
 _NULL = np.iinfo(np.int64).min
@@ -117,7 +117,13 @@ def row_group(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     used = used[np.argsort(-counts[used], kind="stable")]
     rank = np.zeros(len(counts), np.uint64)
     rank[used] = np.arange(len(used), dtype=np.uint64)
-    words, blocks = pack(rank[ids])
+    parts, blocks, n = [], [], 0
+    for a in range(0, len(ids), PACKED_AT_ONCE):
+        words, at = pack(rank[ids[a : a + PACKED_AT_ONCE]])
+        parts.append(words)
+        blocks.append(at + np.uint64(n))
+        n += len(words)
+    words, blocks = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (parts, blocks))
     head = _HEAD.pack(b"S8B1", len(doc_ids), len(ids), len(used), len(blocks), len(words))
     return b"".join([head, doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), used.astype("<u4").tobytes(), blocks.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
 
@@ -130,9 +136,10 @@ def read_groups(path: str):
             if magic != b"S8B1":
                 raise ValueError(f"{path}: not a token file")
             take = lambda kind, k: np.frombuffer(f.read(np.dtype(kind).itemsize * k), kind)  # noqa: E731, B023
-            doc_ids, sizes, table_, _ = take("<i8", docs), take("<u4", docs), take("<u4", used), take("<u8", blocks)
-            ids = table_[unpack(take("<u8", words))[:n].astype(np.int64)]
-            yield doc_ids, sizes, ids
+            doc_ids, sizes, table_, at = take("<i8", docs), take("<u4", docs), take("<u4", used), take("<u8", blocks)
+            body, step = take("<u8", words), PACKED_AT_ONCE // BLOCK
+            ids = [table_[unpack(body[a:z]).astype(np.int64)] for a, z in zip(at[::step], [*at[step::step], len(body)], strict=True)] if n else []
+            yield doc_ids, sizes, np.concatenate([np.zeros(0, np.uint32), *ids])
 
 
 class _Index(dict):
@@ -152,47 +159,74 @@ class ChunkIds:
     """Ids of texts, from the tokenizer's ids of their chunks, each encoded once while it is remembered.
 
     A text is cut before each single space between two characters that are not white space. Byte-level pre-tokenisation starts a new
-    piece at every such space, whatever stands around it, so a text's ids are those of its chunks in turn."""
+    piece at every such space, whatever stands around it, so a text's ids are those of its chunks in turn. A chunk of Latin letters is a
+    single piece and goes to the tokenizer's model at once; others go through all of the tokenizer. When MAX_CHUNKS are remembered, those
+    that were met once since the last time are forgotten."""
 
     SPLIT, ODD = re.compile(r"(?<=\S)\x20(?=\S)"), re.compile(r"\s\x20|\x20\s|\A\x20|\x20\Z")
+    PLAIN = re.compile(r"\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
     def __init__(self, path: str, end_id: int | None):
         from tokenizers import Tokenizer
 
         self.tok, self.end_id = Tokenizer.from_file(path), end_id
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level vocabularies write as themselves
+        rest = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.model = self.tok.model
         self.reset()
 
     def reset(self) -> None:
         self.n, self.todo = 0, []
-        self.flat, self.ends = array("I"), array("q", [0])
+        self.flat, self.ends, self.uses = array("I"), array("q", [0]), np.zeros(0, np.int64)
         self.first, self.later = _Index(self, ""), _Index(self, " ")
         if self.end_id is not None:  # number 0
             self.flat.append(self.end_id)
             self.ends.append(1)
             self.n = 1
 
+    def forget(self) -> None:
+        old, uses, flat, ends = self.later, self.uses, self.flat, self.ends
+        self.reset()
+        for chunk, i in old.items():
+            if uses[i] > 1:
+                self.later[chunk] = self.n
+                self.n += 1
+                self.flat.extend(flat[ends[i] : ends[i + 1]])
+                self.ends.append(len(self.flat))
+        if self.n > MAX_CHUNKS // 2:
+            self.reset()
+
+    def learn(self) -> None:
+        plain, tr = self.PLAIN.fullmatch, self.letters
+        other = [c for c in self.todo if not plain(c)]
+        rest = iter(self.tok.encode_batch_fast(other, add_special_tokens=False))
+        for c in self.todo:
+            self.flat.extend([t.id for t in self.model.tokenize(c.encode().decode("latin-1").translate(tr))] if plain(c) else next(rest).ids)
+            self.ends.append(len(self.flat))
+        self.todo = []
+
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id if there is one; their number by text)."""
         if self.n > MAX_CHUNKS:
-            self.reset()
+            self.forget()
         later, first, parts = self.later.__getitem__, self.first, []
         for text in batch:
             segs = self.SPLIT.split(text) if self.ODD.search(text) else text.split(" ")
-            own = np.empty(len(segs) + (self.end_id is not None), np.int64)
-            own[-1] = 0
+            own = np.zeros(len(segs) + (self.end_id is not None), np.int64)
             own[0] = first[segs[0]]
             if len(segs) > 1:
                 own[1 : len(segs)] = np.fromiter(map(later, segs[1:]), np.int64, len(segs) - 1)
             parts.append(own)
         if self.todo:
-            for enc in self.tok.encode_batch_fast(self.todo, add_special_tokens=False):
-                self.flat.extend(enc.ids)
-                self.ends.append(len(self.flat))
-            self.todo = []
+            self.learn()
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         flat, ends = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
         at = np.concatenate(parts)
+        uses = np.bincount(at, minlength=self.n)
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         size = ends[at + 1] - ends[at]
         done = np.cumsum(size)
         ids = flat[np.arange(done[-1]) - np.repeat(done - size - ends[at], size)]
@@ -233,16 +267,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             out.write(row_group(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
         for batch in batches:
-            ids = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
-            for a, b in slices(some := [x or "" for x in batch.column(1).to_pylist()]):
-                tokens, sizes = memo.encode(some[a:b])
-                if out is None:
-                    out, least = opened(path, "w"), int(ids[a])
-                held.append((ids[a:b], sizes, tokens))
-                n += len(tokens)
-                if n >= GROUP_IDS:
-                    flush()
-                    held, n, total = [], 0, total + n
+            doc_ids = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
+            for at in range(0, len(doc_ids), 500):
+                some, ids = texts(batch.column(1).slice(at, 500)), doc_ids[at : at + 500]
+                for a, b in slices(some):
+                    tokens, sizes = memo.encode(some[a:b])
+                    if out is None:
+                        out, least = opened(path, "w"), int(ids[a])
+                    held.append((ids[a:b], sizes, tokens))
+                    n += len(tokens)
+                    if n >= GROUP_IDS:
+                        flush()
+                        held, n, total = [], 0, total + n
         if out is not None:
             if held:
                 flush()
