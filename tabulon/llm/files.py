@@ -12,7 +12,7 @@ def opened(path: str, mode: str):
     store, at = fs.FileSystem.from_uri(path)
     if mode == "w":
         store.create_dir(at.rpartition("/")[0], recursive=True)
-        return store.open_output_stream(at)
+        return store.open_output_stream(at, compression=None)
     return store.open_input_file(at)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .archives import ORACLE_SQL as WARC_SQL
+from .archives import op6_warc
+from .audio import op10_audio
 from .bpe_reuse import op5_bpe
 from .decontaminate import ORACLE_SQL as DECONTAMINATE_SQL
 from .decontaminate import op8_decontaminate
@@ -12,8 +15,8 @@ from .simple8b import op1_simple8b
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simple8b, op3_quality, op4_simhash, op5_bpe, op8_decontaminate, op9_pii)}
+    return {f.__name__: f for f in (op1_simple8b, op3_quality, op4_simhash, op5_bpe, op6_warc, op8_decontaminate, op9_pii, op10_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": DECONTAMINATE_SQL}
+    return {"op6_warc": WARC_SQL, "op8_decontaminate": DECONTAMINATE_SQL}
