@@ -12,10 +12,11 @@ from .pii import op9_pii
 from .quality import op3_quality
 from .simhash import op4_simhash
 from .simple8b import op1_simple8b
+from .suffixes import op7_suffixes
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simple8b, op3_quality, op4_simhash, op5_bpe, op6_warc, op8_decontaminate, op9_pii, op10_audio)}
+    return {f.__name__: f for f in (op1_simple8b, op3_quality, op4_simhash, op5_bpe, op6_warc, op7_suffixes, op8_decontaminate, op9_pii, op10_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
