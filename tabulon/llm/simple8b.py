@@ -26,7 +26,7 @@ from .files import attempt_path, one_task_each, opened
 #: (ranks, bits of each) by selector.
 SELECTORS = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK, GROUP_IDS, END_ID = 1024, 1 << 21, 2
-MAX_CHUNKS, SLICE_BYTES, PACKED_AT_ONCE = 400_000, 1 << 20, BLOCK << 8
+MAX_CHUNKS, SLICE_BYTES, PACKED_AT_ONCE = 250_000, 1 << 20, BLOCK << 8
 _COUNT = np.array([n for n, _ in SELECTORS], np.int64)
 _HEAD = struct.Struct("<4sIQIIQ")
 _NULL = np.iinfo(np.int64).min
@@ -41,19 +41,20 @@ def bit_lengths(x: np.ndarray) -> np.ndarray:
     return out + (x != 0)
 
 
+_WIDTH = bit_lengths(np.arange(1 << 16, dtype=np.uint64))
+
+
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, word offset of each block). In each block every word takes as many values as fit."""
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     values = values.astype(np.uint64, copy=False)
-    width = np.empty(n, np.uint8)
-    for a in range(0, n, 1 << 20):
-        width[a : a + (1 << 20)] = bit_lengths(values[a : a + (1 << 20)])
-    room = BLOCK - np.arange(n) % BLOCK
+    width = _WIDTH[values] if values.max() < len(_WIDTH) else bit_lengths(values)
+    room = np.tile(np.arange(BLOCK, 0, -1, dtype=np.int16), -(-n // BLOCK))[:n]
     room[-(n % BLOCK or BLOCK) :] = np.arange(n % BLOCK or BLOCK, 0, -1)
     picked = np.where(width <= 60, 15, 0).astype(np.uint8)
-    widest, span = {1: width}, 1
+    widest = {1: width}
     for sel in range(14, 0, -1):
         count, bits = SELECTORS[sel]
         half = max(k for k in widest if k <= count)
@@ -64,7 +65,6 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = np.maximum(widest[half][: max(0, len(widest[half]) - step)], widest[half][step:])
         widest[count] = own
         np.copyto(picked[: len(own)], np.uint8(sel), where=(own <= bits) & (room[: len(own)] >= count))
-        span = count
     starts = np.zeros(n, bool)
     at = np.arange(0, n, BLOCK)
     ends = np.minimum(at + BLOCK, n)
@@ -159,12 +159,13 @@ class ChunkIds:
     """Ids of texts, from the tokenizer's ids of their chunks, each encoded once while it is remembered.
 
     A text is cut before each single space between two characters that are not white space. Byte-level pre-tokenisation starts a new
-    piece at every such space, whatever stands around it, so a text's ids are those of its chunks in turn. A chunk of Latin letters is a
-    single piece and goes to the tokenizer's model at once; others go through all of the tokenizer. When MAX_CHUNKS are remembered, those
+    piece at every such space, whatever stands around it, so a text's ids are those of its chunks in turn. A chunk of Latin letters and
+    marks is one or two pieces, which go to the tokenizer's model without the rest; others go through all of it. A text is first cut at all spaces, and cut
+    again with care if a chunk turns out to begin or end in white space. When MAX_CHUNKS are remembered, those
     that were met once since the last time are forgotten."""
 
-    SPLIT, ODD = re.compile(r"(?<=\S)\x20(?=\S)"), re.compile(r"\s\x20|\x20\s|\A\x20|\x20\Z")
-    PLAIN = re.compile(r"\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+    SPLIT = re.compile(r"(?<=\S)\x20(?=\S)")
+    WORD = re.compile(r"(\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
     def __init__(self, path: str, end_id: int | None):
         from tokenizers import Tokenizer
@@ -173,20 +174,21 @@ class ChunkIds:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level vocabularies write as themselves
         rest = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.model = self.tok.model
+        self.model, self.marks = self.tok.model, {}
         self.reset()
 
     def reset(self) -> None:
         self.n, self.todo = 0, []
-        self.flat, self.ends, self.uses = array("I"), array("q", [0]), np.zeros(0, np.int64)
+        self.flat, self.ends, self.uses, self.odd = array("I"), array("q", [0]), np.zeros(0, np.int64), bytearray()
         self.first, self.later = _Index(self, ""), _Index(self, " ")
         if self.end_id is not None:  # number 0
             self.flat.append(self.end_id)
             self.ends.append(1)
+            self.odd.append(0)
             self.n = 1
 
     def forget(self) -> None:
-        old, uses, flat, ends = self.later, self.uses, self.flat, self.ends
+        old, uses, flat, ends, odd = self.later, self.uses, self.flat, self.ends, self.odd
         self.reset()
         for chunk, i in old.items():
             if uses[i] > 1:
@@ -194,34 +196,58 @@ class ChunkIds:
                 self.n += 1
                 self.flat.extend(flat[ends[i] : ends[i + 1]])
                 self.ends.append(len(self.flat))
+                self.odd.append(odd[i])
         if self.n > MAX_CHUNKS // 2:
             self.reset()
 
     def learn(self) -> None:
-        plain, tr = self.PLAIN.fullmatch, self.letters
-        other = [c for c in self.todo if not plain(c)]
-        rest = iter(self.tok.encode_batch_fast(other, add_special_tokens=False))
-        for c in self.todo:
-            self.flat.extend([t.id for t in self.model.tokenize(c.encode().decode("latin-1").translate(tr))] if plain(c) else next(rest).ids)
-            self.ends.append(len(self.flat))
+        """Ids of the chunks noted: letters and marks, the two commonest kinds, are one and two pieces and need no pre-tokenizer."""
+        word, model, known, flat, ends = self.WORD.match, self.model.tokenize, self.later, self.flat, self.ends
+        found, other = [], []
+        for i, c in enumerate(self.todo):
+            m = word(c)
+            core, marks = m.groups() if m else (None, None)
+            if core is None:
+                other.append(i)
+                found.append(None)
+                continue
+            ids = None
+            if marks and core[0] == " " and (n := dict.get(known, core[1:])) is not None and n + 1 < len(ends):
+                ids = flat[ends[n] : ends[n + 1]].tolist()
+            if ids is None:
+                ids = [t.id for t in model(core.encode().decode("latin-1").translate(self.letters))]
+            if marks:
+                if marks not in self.marks:
+                    self.marks[marks] = self.tok.encode(marks, add_special_tokens=False).ids
+                ids += self.marks[marks]
+            found.append(ids)
+        for i, e in zip(other, self.tok.encode_batch_fast([self.todo[i] for i in other], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        for c, ids in zip(self.todo, found, strict=True):
+            flat.extend(ids)
+            ends.append(len(flat))
+            self.odd.append(c[-1:].isspace() or c[:1] == " " and c[1:2].isspace())
         self.todo = []
 
+    def numbers(self, segs: list[str]) -> np.ndarray:
+        own = np.zeros(len(segs) + (self.end_id is not None), np.int64)
+        own[0] = self.first[segs[0]]
+        own[1 : len(segs)] = np.fromiter(map(self.later.__getitem__, segs[1:]), np.int64, len(segs) - 1)
+        return own
+
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id if there is one; their number by text)."""
+        if not batch:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.n > MAX_CHUNKS:
             self.forget()
-        later, first, parts = self.later.__getitem__, self.first, []
-        for text in batch:
-            segs = self.SPLIT.split(text) if self.ODD.search(text) else text.split(" ")
-            own = np.zeros(len(segs) + (self.end_id is not None), np.int64)
-            own[0] = first[segs[0]]
-            if len(segs) > 1:
-                own[1 : len(segs)] = np.fromiter(map(later, segs[1:]), np.int64, len(segs) - 1)
-            parts.append(own)
-        if self.todo:
+        parts = [self.numbers(text.split(" ")) for text in batch]
+        self.learn()
+        odd = np.array(self.odd, bool)
+        if again := [i for i, p in enumerate(parts) if odd[p].any()]:
+            for i in again:
+                parts[i] = self.numbers(self.SPLIT.split(batch[i]))
             self.learn()
-        if not parts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         flat, ends = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.zeros(0, np.uint32), np.frombuffer(self.ends, np.int64)
         at = np.concatenate(parts)
         uses = np.bincount(at, minlength=self.n)
