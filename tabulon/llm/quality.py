@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 LABELLED, POOL, ROUNDS, CONFIDENT = 16_000, 6000, 2, 0.1
-WORDS, TAGS = 1 << 18, 256
+WORDS, TAGS = 1 << 16, 256
 TARGETS = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 THRESHOLD = 0.5
 TOKEN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]+"
