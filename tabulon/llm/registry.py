@@ -8,6 +8,7 @@ from .audio import op10_audio
 from .bpe_reuse import op5_bpe
 from .decontaminate import ORACLE_SQL as DECONTAMINATE_SQL
 from .decontaminate import op8_decontaminate
+from .passages import op2_passages
 from .pii import op9_pii
 from .quality import op3_quality
 from .simhash import op4_simhash
@@ -16,7 +17,9 @@ from .suffixes import op7_suffixes
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simple8b, op3_quality, op4_simhash, op5_bpe, op6_warc, op7_suffixes, op8_decontaminate, op9_pii, op10_audio)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_simple8b, op2_passages, op3_quality, op4_simhash, op5_bpe, op6_warc, op7_suffixes, op8_decontaminate, op9_pii, op10_audio)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -41,7 +41,7 @@ class Spool:
                         out, n_rows, size = pq.ParquetWriter(stream, schema, compression="zstd", use_dictionary=False, write_statistics=False), 0, 0
                     out.write_table(pa.Table.from_arrays([pa.chunked_array([batch.column(0).slice(at, len(raw))]), pa.array(raw, pa.large_binary())], schema=schema))
                     keys = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in raw), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(raw)), pa.array(np.arange(n_rows, n_rows + len(raw))), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([len(x) for x in raw])], ["path", "row", "k1", "k2", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(raw)), pa.array(np.arange(n_rows, n_rows + len(raw))), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([len(x) for x in raw]), batch.column(0).slice(at, len(raw))], ["path", "row", "k1", "k2", "n", "id"])
                     n_rows, size, at = n_rows + len(raw), size + sum(map(len, raw)), at + len(raw)
                     if size >= FILE_BYTES:
                         out.close()
@@ -52,11 +52,16 @@ class Spool:
                 stream.close()
 
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        rows = saved(texts.mapInArrow(run, "path string, row bigint, k1 bigint, k2 bigint, n bigint"), "spool-rows")
+        rows = saved(texts.mapInArrow(run, f"path string, row bigint, k1 bigint, k2 bigint, n bigint, id {self.id_type}"), "spool-rows")
+        self._ids = rows.select(F.xxhash64("path").alias("f"), "row", "id")
         self.files = rows.select("path").distinct().select(F.xxhash64("path").alias("f"), "path")
         self.rows = rows.select(F.xxhash64("path").alias("f"), "row", "k1", "k2", "n")
         self.n_files = self.files.count()
 
+    def rows_with_id(self) -> DataFrame:
+        """(f, row, id)."""
+        return self._ids
+
     def copies(self) -> DataFrame:
         """(f, row, first): the rows whose text occurs again; first marks one of each text."""
         again = self.rows.groupBy("k1", "k2").agg(F.min(F.struct("f", "row")).alias("top"), F.count("*").alias("c")).where("c > 1")
