@@ -24,7 +24,7 @@ from .common import grouped, saved, table
 from .spool import Spool
 
 LENGTH, GRAM = 400, 128
-PAIRED, BATCH_BYTES = 64, 4 << 20
+PAIRED, BATCH_ROWS = 64, 2000
 _RNG = np.random.default_rng(7_400)
 _BYTE = _RNG.integers(1, 1 << 64, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 1
@@ -46,15 +46,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Prefix polynomial hashes of a buffer; equal substrings have equal hashes."""
+    """Prefix polynomial hashes of a buffer of strings that end at ``ends``; equal substrings of any two have equal hashes. Powers count
+    from each string's start, so their tables are as long as the longest string only."""
 
-    def __init__(self, buf: np.ndarray):
+    def __init__(self, buf: np.ndarray, ends: np.ndarray):
         self.buf, self.n = buf, len(buf)
-        up, self.down = powers(self.n + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * up[:-1], dtype=np.uint64)])
+        size = np.diff(ends, prepend=0)
+        self.local = np.empty(self.n + 1, np.int32)
+        self.local[:-1] = np.arange(self.n) - np.repeat(ends - size, size)
+        self.local[-1] = size[-1] if len(size) else 0
+        up, self.down = powers(int(size.max(initial=0)) + 1)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        for a in range(0, self.n, 1 << 18):
+            z = min(a + (1 << 18), self.n)
+            self.sums[a + 1 : z + 1] = np.cumsum(_BYTE[buf[a:z]] * up[self.local[a:z]], dtype=np.uint64) + self.sums[a]
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.sums[b] - self.sums[a]) * self.down[a]
+        return (self.sums[b] - self.sums[a]) * self.down[self.local[a]]
 
     def common(self, i: np.ndarray, j: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
         """Length of the common extension of places i and j, forwards or backwards, at most ``most``, by binary search."""
@@ -84,7 +92,7 @@ def _window_min(x: np.ndarray, w: int, op=np.minimum) -> np.ndarray:
 def anchors(buf: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) in a buffer of texts of ``length`` bytes or more that end at ``ends``."""
     w, n = length - gram + 1, len(buf)
-    sums = Hashes(buf)
+    sums = Hashes(buf, ends)
     at = np.arange(n - gram + 1)
     h = sums.of(at, at + gram)
     h = ((h ^ (h >> np.uint64(29))) * _MIX) >> np.uint64(1) | np.uint64(1)
@@ -156,7 +164,7 @@ def repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length:
     nl, nr = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
     ends = np.cumsum(nl + nr)
     at = ends - nr
-    sums = Hashes(np.frombuffer(b"".join(x for p in zip(lefts, rights, strict=True) for x in p), np.uint8))
+    sums = Hashes(np.frombuffer(b"".join(x for p in zip(lefts, rights, strict=True) for x in p), np.uint8), ends)
     order = suffix_order(sums, at, nr, group)
     before, after, why_l, why_r = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
 
@@ -256,23 +264,19 @@ def removed(spool: Spool, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     around = spool.each(found.join(again, "h").select("f", "row", "pos", "h"), cut, "h bigint, f bigint, row bigint, pos bigint, before binary, after binary")
 
     def sort(batches):
-        held, size = [], 0
-
-        def done():
-            t = pa.concat_tables(held)
+        def done(t):
             before, after = repeats(t["h"].to_numpy(), t["before"].to_pylist(), t["after"].to_pylist(), length)
             k = np.flatnonzero(before + after >= length)
             pos = t["pos"].to_numpy()[k]
             return pa.RecordBatch.from_arrays([pa.array(t["f"].to_numpy()[k]), pa.array(t["row"].to_numpy()[k]), pa.array(pos - before[k]), pa.array(pos + after[k])], ["f", "row", "a", "z"])
 
         for t in grouped(batches, ["h"]):
-            held.append(t)
-            size += t.nbytes
-            if size > BATCH_BYTES:
-                yield done()
-                held, size = [], 0
-        if held:
-            yield done()
+            h, a = t["h"].to_numpy(), 0
+            stops = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+            for z in stops:  # whole groups, about BATCH_ROWS at a time
+                if z - a >= BATCH_ROWS or z == len(h):
+                    yield done(t.slice(a, z - a))
+                    a = z
 
     spans = around.repartition("h").sortWithinPartitions("h").mapInArrow(sort, "f bigint, row bigint, a bigint, z bigint")
     whole = copies.join(spool.rows.select("f", "row", "n"), ["f", "row"]).where(F.col("n") >= length).select("f", "row", F.lit(0).cast("long").alias("a"), F.col("n").alias("z"))
