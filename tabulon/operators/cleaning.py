@@ -9,8 +9,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import INDEX, col, is_missing, kind, present, to_number, with_index
-from .profile import Profile, fences, names, outside, simple_type, text_stats, z_outside
+from ..functions.quantiles import quantiles
+from ..functions.values import INDEX, col, is_missing, kind, mark_repeats, present, to_number, with_index
+from .profile import Profile, fences, names, outside, simple_type, text_stats, top_typed, z_outside
 
 
 @dataclass(frozen=True)
@@ -50,15 +51,13 @@ def groups(df: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def mode(df: DataFrame, c: str) -> Column:
-    """Most frequent value, the least of equals."""
-    return F.mode(present(df, c), True)
-
-
 def fill_values(df: DataFrame, how: dict[str, str]) -> dict[str, object]:
     """Values that fill missing cells: mean, median, zero, mode, unknown or empty for each column named."""
-    ask = {c: {"mean": F.avg(x := present(df, c)), "median": F.median(x), "mode": mode(df, c)}[h] for c, h in how.items() if h in ("mean", "median", "mode")}
-    found = dict(zip(ask, df.agg(*ask.values()).first(), strict=True)) if ask else {}
+    of = lambda h: [c for c in how if how[c] == h]
+    found = dict(zip(of("mean"), df.agg(*[F.avg(present(df, c)) for c in of("mean")]).first(), strict=True)) if of("mean") else {}
+    if of("median"):
+        found |= {c: q and q[0] for c, q in quantiles(df, of("median"), (0.5,))[()].items()}
+    found |= {c: top_typed(df, c) for c in of("mode")}
     return {c: found[c] if c in found else {"zero": 0, "unknown": "unknown", "empty": ""}[h] for c, h in how.items()}
 
 
@@ -67,13 +66,6 @@ def filled(df: DataFrame, values: dict[str, object]) -> DataFrame:
     return df.withColumns({c: F.coalesce(present(df, c), F.lit(v)) for c, v in values.items() if v is not None})
 
 
-def repeated(df: DataFrame) -> Column:
-    """True for rows that repeat one with a smaller index. The window partitions on the row's whole content, nulls and NaNs alike."""
-    from pyspark.sql import Window
-
-    return F.row_number().over(Window.partitionBy(*[col(c) for c in names(df)]).orderBy(INDEX)) > 1
-
-
 def z_limits(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
     row = df.agg(*[F.struct(F.avg(x := present(df, c).cast("double")), F.stddev_samp(x)) for c in cols]).first() if cols else ()
     return {c: tuple(r) for c, r in zip(cols, row, strict=True)}
@@ -93,7 +85,7 @@ def impact(df: DataFrame, plan: Plan) -> dict[str, int]:
         marks["outlier"] = any_of([outside(df, c, x) for c, x in limits.items()])
     if plan.outliers == "drop_zscore":
         marks["outlier"] = any_of([z_outside(df, c, *x) for c, x in z.items()])
-    work = df.withColumn("_dup", repeated(df)) if plan.duplicates == "drop" else df.withColumn("_dup", F.lit(False))
+    work = mark_repeats(df, "_dup") if plan.duplicates == "drop" else df.withColumn("_dup", F.lit(False))
     total = lambda xs: sum((x.cast("long") for x in xs), F.lit(0).cast("long"))
     row = work.agg(
         F.count("*").alias("rows"), F.count_if("_dup").alias("duplicates"), F.count_if(marks["missing_value"]).alias("missing_rows"), F.coalesce(F.sum(total([is_missing(df, c) for c in fill])), F.lit(0)).alias("filled"),
@@ -115,14 +107,16 @@ def apply_plan(df: DataFrame, plan: Plan) -> Cleaned:
     df = with_index(df)
     actions: list[dict] = []
     original = df.columns
-    work = df.withColumn("_was", F.struct(*[col(c) for c in original])).withColumn("_why", F.array().cast("array<string>"))
+    work = mark_repeats(df, "_dup") if plan.duplicates == "drop" else df.withColumn("_dup", F.lit(False))
+    work = work.withColumn("_was", F.struct(*[col(c) for c in original])).withColumn("_why", F.array().cast("array<string>"))
 
     def mark(now: DataFrame, when: Column, reason: str) -> DataFrame:
         return now.withColumn("_why", F.when(when, F.array_append("_why", F.lit(reason))).otherwise(F.col("_why")))
 
     if plan.duplicates == "drop":
-        work = mark(work, repeated(df), "duplicate_row")
+        work = mark(work, F.col("_dup"), "duplicate_row")
         actions.append({"action": "drop_row", "reason": "duplicate_row"})
+    work = work.drop("_dup")
     g = groups(df)
     how = {"numeric": plan.missing_numeric, "categorical": plan.missing_categorical, "text": plan.missing_text}
     lost = [c for t, h in how.items() if h == "drop_rows" for c in g[t]]

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..functions.values import INDEX, col, is_missing, kind, present, tokens
 
 FENCE, Z_LIMIT, NEAR_CONSTANT = 1.5, 3.0, 0.98
@@ -75,27 +76,30 @@ def top_values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return best.select("column", "x.value", (-F.col("x.n")).alias("n"))
 
 
+def top_typed(df: DataFrame, c: str):
+    """The most frequent value itself, the least of equals; None without any."""
+    n = df.select(present(df, c).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    row = n.agg(F.min(F.struct((-F.col("n")).alias("n"), "value"))).first()[0]
+    return row and row["value"]
+
+
 def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, n, mean, median, std, min, q1, q3, max), missing values left out."""
-    parts = []
-    for i, c in enumerate(cols):
-        x = present(df, c).cast("double")
-        parts += [F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).alias(f"s{i}")]
-    one = df.agg(*parts)
-    return one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("x")).select("x.column", "x.n", "x.mean", F.col("x.q")[1].alias("median"), "x.std", "x.min", F.col("x.q")[0].alias("q1"), F.col("x.q")[2].alias("q3"), "x.max")
+    found, parts = quantiles(df, cols)[()], []
+    for c in cols:
+        x, q = present(df, c).cast("double"), found[c] or [None] * 3
+        at = lambda i, name: F.lit(q[i]).cast("double").alias(name)  # noqa: E731, B023
+        parts.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), at(1, "median"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), at(0, "q1"), at(2, "q3"), F.max(x).alias("max")))
+    return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
 def fences(df: DataFrame, cols: list[str], k: float = FENCE, skip_flat: bool = True, at_least: int = 4) -> dict[str, tuple[float, float]]:
     """Outer limits of columns with ``at_least`` values; ``skip_flat`` leaves out those whose quartiles agree."""
     if not cols:
         return {}
-    row = df.agg(*[F.struct(F.count(x := present(df, c).cast("double")).alias("n"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    out = {}
-    for i, c in enumerate(cols):
-        n, q = row[i]
-        if n >= at_least and q and (q[1] > q[0] or not skip_flat):
-            out[c] = (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0]))
-    return out
+    n = df.agg(*[F.count(present(df, c)) for c in cols]).first()
+    found = quantiles(df, cols, (0.25, 0.75))[()]
+    return {c: (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) for c, m in zip(cols, n, strict=True) if m >= at_least and (q := found[c]) and (q[1] > q[0] or not skip_flat)}
 
 
 def outside(df: DataFrame, name: str, limits: tuple[float, float] | None) -> Column:
