@@ -11,6 +11,8 @@ from ..functions.values import INDEX, NUMBER, col, kind, present, strip, to_time
 
 TYPES = ("numeric", "categorical", "text", "unknown")
 PARSED, TEXT_SCORE, LONG = 0.95, 0.55, 20
+#: From which average length, average words, share of long values and share of distinct values a column looks like text, and what each counts.
+TEXT_SIGNS = ((25.0, 0.35), (3.0, 0.25), (0.30, 0.20), (0.30, 0.20))
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,8 @@ def parse_ratio(df: DataFrame, c: str, what: str = "number") -> Column:
 
 
 def text_score(avg_length: float, avg_tokens: float, long_ratio: float, unique_ratio: float) -> float:
-    """Share of four signs of text: length, words, long values, distinct values."""
-    return 0.3 * min(1.0, avg_length / 40) + 0.3 * min(1.0, avg_tokens / 8) + 0.2 * long_ratio + 0.2 * unique_ratio
+    """Weight of the signs of text that are there."""
+    return sum(w for x, (least, w) in zip((avg_length, avg_tokens, long_ratio, unique_ratio), TEXT_SIGNS, strict=True) if x >= least)
 
 
 def categorical_confidence(unique: int, unique_ratio: float, avg_length: float, avg_tokens: float) -> float:
