@@ -1,6 +1,6 @@
 """Texts spooled once to files in the shared folder, so that later passes meet them by file instead of shuffling them again.
 
-A row is named by ``f`` (hash of its file's path) and ``row`` (its place there). A pass takes a small side table keyed by f, deals it out so
+A row is named by ``f`` (its file's number: partition and count) and ``row`` (its place there), the same in every run over the same partitions. A pass takes a small side table keyed by f, deals it out so
 that all of a file's side rows reach one task, and reads the file there. A file holds about FILE_BYTES of text, which bounds both."""
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ class Spool:
         def run(batches):
             out = path = schema = None
             n_rows = size = files = 0
+            partition = TaskContext.get().partitionId()
             for batch in batches:
                 schema = schema or pa.schema([("id", batch.schema.field(0).type), ("text", pa.large_binary())])
                 at = 0
@@ -41,7 +43,7 @@ class Spool:
                         out, n_rows, size = pq.ParquetWriter(stream, schema, compression="zstd", use_dictionary=False, write_statistics=False), 0, 0
                     out.write_table(pa.Table.from_arrays([pa.chunked_array([batch.column(0).slice(at, len(raw))]), pa.array(raw, pa.large_binary())], schema=schema))
                     keys = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in raw), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(raw)), pa.array(np.arange(n_rows, n_rows + len(raw))), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([len(x) for x in raw]), batch.column(0).slice(at, len(raw))], ["path", "row", "k1", "k2", "n", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(raw)), pa.array(np.full(len(raw), partition << 20 | files)), pa.array(np.arange(n_rows, n_rows + len(raw))), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([len(x) for x in raw]), batch.column(0).slice(at, len(raw))], ["path", "f", "row", "k1", "k2", "n", "id"])
                     n_rows, size, at = n_rows + len(raw), size + sum(map(len, raw)), at + len(raw)
                     if size >= FILE_BYTES:
                         out.close()
@@ -52,10 +54,10 @@ class Spool:
                 stream.close()
 
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        rows = saved(texts.mapInArrow(run, f"path string, row bigint, k1 bigint, k2 bigint, n bigint, id {self.id_type}"), "spool-rows")
-        self._ids = rows.select(F.xxhash64("path").alias("f"), "row", "id")
-        self.files = rows.select("path").distinct().select(F.xxhash64("path").alias("f"), "path")
-        self.rows = rows.select(F.xxhash64("path").alias("f"), "row", "k1", "k2", "n")
+        rows = saved(texts.mapInArrow(run, f"path string, f bigint, row bigint, k1 bigint, k2 bigint, n bigint, id {self.id_type}"), "spool-rows")
+        self._ids = rows.select("f", "row", "id")
+        self.files = rows.select("f", "path").distinct()
+        self.rows = rows.select("f", "row", "k1", "k2", "n")
         self.n_files = self.files.count()
 
     def rows_with_id(self) -> DataFrame:
