@@ -15,7 +15,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +45,7 @@ def views(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("_ct_tags", F.array(tag("source"), tag("lang"))).withColumn("_ct_numbers", array_to_vector(F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in numbers])))
     out = HashingTF(numFeatures=WORDS, binary=True, inputCol="_ct_tokens", outputCol="_ct_content").transform(out)
     out = HashingTF(numFeatures=TAGS, binary=True, inputCol="_ct_tags", outputCol="_ct_tagged").transform(out)
+    out = VectorSizeHint(inputCol="_ct_numbers", size=len(numbers), handleInvalid="optimistic").transform(out)  # else a row is read to learn it
     out = VectorAssembler(inputCols=["_ct_numbers", "_ct_tagged"], outputCol="_ct_page").transform(out)
     return out.drop("_ct_text", "_ct_tokens", "_ct_lines", "_ct_tags", "_ct_numbers", "_ct_tagged")
 
