@@ -21,7 +21,7 @@ from .common import table, texts
 from .simple8b import slices
 
 WINDOW, MASK = 32, (1 << 8) - 1
-MAX_WORDS, MAX_CHUNK_CHARS = 700_000, 24 << 20
+MAX_WORDS, MAX_CHUNK_CHARS = 300_000, 12 << 20
 _GEAR = np.random.default_rng(20_240_229).integers(1, 1 << 32, 256, dtype=np.uint32)
 _GEAR[0] = 0
 

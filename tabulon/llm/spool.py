@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import new_path, saved, utf8
 from .files import attempt_path, opened
 
-FILE_BYTES, GROUP_BYTES = 32 << 20, 2 << 20
+FILE_BYTES, GROUP_ROWS = 32 << 20, 256
 
 
 class Spool:
@@ -36,7 +36,7 @@ class Spool:
                 schema = schema or pa.schema([("id", batch.schema.field(0).type), ("text", pa.large_binary())])
                 at = 0
                 while at < batch.num_rows:
-                    raw = utf8(batch.column(1).slice(at, 512))
+                    raw = utf8(batch.column(1).slice(at, GROUP_ROWS))
                     if out is None:
                         path, files = attempt_path(folder, f"-{files}.parquet"), files + 1
                         stream = opened(path, "w")
