@@ -1,6 +1,6 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
-Base kinds (email, ip, card, phone) are kept whenever their own rule holds. The scored kinds add to them: ``iban`` (mod-97) and
+Base kinds (email, ip, card, phone) are kept whenever their own rule holds. The scored kinds add to them: ``iban`` (its country's length, mod-97) and
 ``phone_local`` (a national number, kept only where a context word stands nearby). Null or empty text: no spans. Offsets are code
 points, end exclusive. Every search is linear in the text's length, so very long runs of one class cost no more than prose."""
 
@@ -29,7 +29,16 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: At each start, as far as an IBAN could reach; LENGTHS or mod-97 say where it ends.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
+_GOES_ON = re.compile(r"[A-Za-z0-9]")
+#: Characters of an IBAN by country.
+LENGTHS = {
+    x[:2]: int(x[2:]) for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+        "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.])0[0-9]{1,4}[\x20/-][0-9](?:[\x20-]?[0-9]){4,9}(?![0-9])")
 _DIGITS = re.compile(r"[^0-9]+")
 
@@ -60,6 +69,22 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Leftmost, not overlapping, right by mod-97: as long as the country code prescribes; for other codes the longest that ends a group."""
+    out, done = [], 0
+    for m in _IBAN.finditer(text):
+        if m.start() < done:
+            continue
+        ends = [i for i, c in enumerate(m[1], m.start() + 1) if c != " "]
+        n = LENGTHS.get(m[1][:2])
+        for end in ends[n - 1 : n] if n else ends[:13:-1]:
+            if not _GOES_ON.match(text, end) and mod97(text[m.start() : end]):
+                out.append((m.start(), end))
+                done = end
+                break
+    return out
+
+
 def _near(kind: str, text: str, start: int) -> bool:
     before = text[max(0, start - CONTEXT) : start].lower()
     return any(w in before for w in WORDS[kind])
@@ -76,7 +101,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
             raw.append(("card", m.start(), m.end(), True))
     if "+" in text:
         raw += [("phone", m.start(), m.end(), False) for m in _PHONE.finditer(text) if 8 <= len(_DIGITS.sub("", m[0])) <= 15]
-    raw += [("iban", m.start(), m.end(), True) for m in _IBAN.finditer(text) if mod97(m[0])]
+    raw += [("iban", a, b, True) for a, b in ibans(text)]
     raw += [("phone_local", m.start(), m.end(), False) for m in _LOCAL_PHONE.finditer(text)]
     out = []
     for kind, a, b, checked in raw:

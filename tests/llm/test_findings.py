@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from tabulon.llm import similar
+from tabulon.llm import pii, similar
 
 
 def shingled(text, k=5):
@@ -38,3 +38,15 @@ def test_near_copies_of_jaccard(spark):
     kept = corpus_pipeline.simhash_near_dedup(spark, docs, "")
     assert {r["doc_id"] for r in kept.collect()} == {i for i in root if root[i] == i} | {None}
     assert len(root) - len(set(root.values())) > 8
+
+
+def test_iban_before_words_and_numbers():
+    compact, grouped = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for iban in (compact, grouped, "NO93 8601 1117 947", "GB29NWBK60161331926819", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"):
+        for behind in ("", " EUR 50", " BIC COBADEFF", " 4711", " X", " and more", ".", ", 12", " " + grouped):
+            text = f"account {iban}{behind}"
+            assert (8, 8 + len(iban)) in [(a, b) for k, a, b, _ in pii.find(text) if k == "iban"], text
+            assert iban not in pii.redact(text)
+    assert [(a, b) for k, a, b, _ in pii.find(f"AB12 3456 7890 1234 {grouped} OK") if k == "iban"] == [(20, 47)]
+    assert not [k for k, *_ in pii.find(f"account {compact}EUR, DE89 3704 0044 0532 0130 01 EUR, {compact[:-1]} 5") if k == "iban"]
+    assert pii.ibans("AA11 " * 20000) == []
