@@ -3,7 +3,9 @@
 import itertools
 import random
 
-from tabulon.llm import pii, similar
+import numpy as np
+
+from tabulon.llm import passages, pii, similar
 
 
 def shingled(text, k=5):
@@ -50,3 +52,21 @@ def test_iban_before_words_and_numbers():
     assert [(a, b) for k, a, b, _ in pii.find(f"AB12 3456 7890 1234 {grouped} OK") if k == "iban"] == [(20, 47)]
     assert not [k for k, *_ in pii.find(f"account {compact}EUR, DE89 3704 0044 0532 0130 01 EUR, {compact[:-1]} 5") if k == "iban"]
     assert pii.ibans("AA11 " * 20000) == []
+
+
+def test_passages_with_insertions(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    shared, new = text(70), text(7)
+    longer = shared[:35] + new + shared[35:]
+    assert jaccard(shingled(" ".join(shared)), shingled(" ".join(longer))) >= 0.8
+    for before, after in ((0, 0), (3, 20), (40, 30)):
+        a, b = text(before) + shared + text(after), text(after) + longer + text(before)
+        x, y = ((passages.shingles(" ".join(w).encode()) >> np.uint64(32)).astype(np.uint32) for w in (a, b))
+        for one, two in ((x, y), (y, x)):
+            found = list(passages.verified([one, two], 46))
+            assert found and all(jaccard(set(one[s:e].tolist()), set(two[t:f].tolist())) >= 0.8 and min(e - s, f - t) >= 46 for _, s, e, t, f in found)
+    rows = [(1, " ".join(shared)), (2, " ".join(longer)), (3, " ".join(text(90)))]
+    got = {(r["doc_id"], r["class"]) for r in passages.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1, 1), (2, 1)}
