@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_SHARED = "file:///tmp/checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local default where it is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one, if all tasks run in this
+    process (``local[...]``, as in tests); a cluster has to name it."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    return _own_folder()
+
+
+@lru_cache(1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-shared-")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -63,9 +74,9 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         cut = batch.num_rows
         same = None
         for k, v in zip(keys, last, strict=True):
-            eq = pa.compute.equal(batch.column(k), v)
-            same = eq if same is None else pa.compute.and_(same, eq)
-        cut = pa.compute.index(same, True).as_py()
+            eq = pc.equal(batch.column(k), v)
+            same = eq if same is None else pc.and_(same, eq)
+        cut = pc.index(same, True).as_py()
         if held and cut == 0:
             first = [held[-1].column(k)[held[-1].num_rows - 1] for k in keys]
             if first != last:

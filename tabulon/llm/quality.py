@@ -1,150 +1,300 @@
 """Quality classifier by co-training.
 
-Two views of a document are learned apart: its content (hashed words and marks) and its page metadata (source, language, length, lines,
-shares of capitals, digits, marks and repeats). In each round either view labels the pool documents of which it is most sure, and the
-other view learns them too. Each view is then calibrated on labelled rows that no model has seen (Platt), and a logistic regression on
-the two calibrated logits combines them. This is done for two targets, low quality and toxic; every document gets both probabilities.
+Two views of a document are learned apart: its content (hashed words and marks) and its page metadata (source, language and, in bins,
+length, lines, shares of capitals, digits, marks and repeats). Either view is a Bernoulli naive Bayes model over the features whose G
+statistic is SIGNIFICANT or more, so all that fitting needs of the corpus are counts of features by class: one pass, partial sums in each
+task, a sum by feature. Three quarters of the labelled rows are learned from; the others, which no model sees, calibrate each view (Platt).
+In each round every document without a label is scored by both views, and where a view is sure (a calibrated probability of SURE or more,
+or RARE times the base rate or less) the other view counts it as labelled so, all such documents of a class weighing as much as its labelled
+rows at most. A logistic regression on the two calibrated logits combines the views. This is done for two targets, low quality and toxic.
 
-Fitting reads bounded samples, chosen by the hash of the id: LABELLED labelled rows and POOL others. Scoring covers all rows.
-Null or empty text is an empty document and is scored like any other; null metadata is a value of its own. Without labelled rows of both
-classes a target's probability is the smoothed share of its label, one half when there are none. Repeated rows are scored alike; an empty
-table gives an empty result. Ids that have no label, or a null one, only join the pool."""
+Counts and rounds cover all rows; only the two or three numbers of a calibration are fitted on a bounded sample, CALIBRATION held-out rows
+by the hash of their id. Null or empty text is an empty document and is scored like any other, texts of any length are read whole; null
+metadata is a value of its own. Rows with a null id, or without a label, take part unlabelled; repeated rows count as often as they occur
+and are scored alike, a label given more than once counts as the least of its values, equal scores are decided alike. A target whose
+labelled rows lack a class, among those learned from or those held out, can't be learned: its probability is the smoothed share of the label
+and it rejects nothing. An empty table gives an empty result. Columns of any other name, also those used here, are kept as they are."""
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from dataclasses import dataclass, field
+from functools import lru_cache
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler, VectorSizeHint
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import re
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, table
 
-LABELLED, POOL, ROUNDS, CONFIDENT = 16_000, 6000, 2, 0.1
-WORDS, TAGS = 1 << 16, 256
+ROUNDS, SURE, RARE, SIGNIFICANT, SMOOTH, CALIBRATION = 2, 0.9, 0.1, 15.0, 0.5, 16_000
+WORDS, TAGS = 1 << 18, 1 << 14
+SIZES = {"content": WORDS, "page": TAGS}
 TARGETS = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 THRESHOLD = 0.5
-TOKEN = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\s]+"
+TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+_OTHER = {"content": "page", "page": "content"}
 
 
-def views(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the two feature vectors ``_ct_content`` and ``_ct_page``."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    have = set(docs.columns)
-    tag = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("none"))) if c in have else F.lit(f"{c}=none")
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    out = docs.withColumn("_ct_text", text).withColumn("_ct_tokens", F.regexp_extract_all(F.lower("_ct_text"), F.lit(TOKEN), F.lit(0))).withColumn("_ct_lines", F.split("_ct_text", "\n"))
-    n, tokens, lines = F.length("_ct_text"), F.size("_ct_tokens"), F.size("_ct_lines")
-    numbers = [
-        F.log1p(F.coalesce(F.col("n_chars").cast("double"), n.cast("double")) if "n_chars" in have else n), F.log1p(lines), F.log1p(n / lines),
-        share(F.regexp_count("_ct_text", F.lit(r"\p{Lu}")), n), share(F.regexp_count("_ct_text", F.lit(r"\p{N}")), n), share(F.regexp_count("_ct_text", F.lit(r"[\p{P}\p{S}]")), n),
-        share(F.size(F.array_distinct("_ct_tokens")), tokens), share(F.size(F.array_distinct("_ct_lines")), lines), share(n, tokens),
-    ]
-    out = out.withColumn("_ct_tags", F.array(tag("source"), tag("lang"))).withColumn("_ct_numbers", array_to_vector(F.array(*[F.coalesce(x.cast("double"), F.lit(0.0)) for x in numbers])))
-    out = HashingTF(numFeatures=WORDS, binary=True, inputCol="_ct_tokens", outputCol="_ct_content").transform(out)
-    out = HashingTF(numFeatures=TAGS, binary=True, inputCol="_ct_tags", outputCol="_ct_tagged").transform(out)
-    out = VectorSizeHint(inputCol="_ct_numbers", size=len(numbers), handleInvalid="optimistic").transform(out)  # else a row is read to learn it
-    out = VectorAssembler(inputCols=["_ct_numbers", "_ct_tagged"], outputCol="_ct_page").transform(out)
-    return out.drop("_ct_text", "_ct_tokens", "_ct_lines", "_ct_tags", "_ct_numbers", "_ct_tagged")
+class _Buckets(dict):
+    """Word -> bucket; forgotten when full, which costs time only."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = n = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & (WORDS - 1)
+        return n
+
+
+_KNOWN = _Buckets()
+
+
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """Class of each code point below 2^16: 1 capital, 2 digit, 3 mark, else 0; higher ones are taken as 0."""
+    kind = {"Lu": 1, "N": 2, "P": 3, "S": 3}
+    return np.array([kind.get(c := unicodedata.category(chr(i)), kind.get(c[0], 0)) for i in range(1 << 16)], np.uint8)
 
 
-def _fit(rows: DataFrame, features: str, reg: float, sparse: float = 0.0):
-    """``sparse``: share of the L1 penalty, for the few words of many that matter."""
-    return LogisticRegression(featuresCol=features, labelCol="_ct_y", maxIter=25, regParam=reg, elasticNetParam=sparse, standardization=not sparse, predictionCol="", rawPredictionCol="_ct_raw", probabilityCol="_ct_p", aggregationDepth=2).fit(rows)
+def _share(a: float, b: float) -> int:
+    """A share in twentieths; of nothing: -1."""
+    return int(20 * a / b) if b else -1
+
+
+def vectors(texts: list, langs: list, sources: list, n_chars: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct buckets of each document, ascending: content and page."""
+    content, page = [], []
+    for text, lang, source, n in zip(texts, langs, sources, n_chars, strict=True):
+        text = text or ""
+        tokens = TOKEN.findall(text.lower())
+        words = set(tokens)
+        content.append(np.array(sorted({_KNOWN[w] for w in words}), np.uint32))
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = np.bincount(_classes()[np.where(points < 1 << 16, points, 0)], minlength=4)
+        lines = text.split("\n")
+        log = lambda x: int(2 * np.log1p(max(float(x), 0.0)))
+        said = len(text) if n is None or n != n else n
+        tags = [
+            f"source={source}", f"lang={lang}", f"chars={log(said)}", f"lines={log(len(lines))}", f"line={log(len(text) / len(lines))}", f"word={_share(len(text), 10 * len(tokens))}",
+            f"capitals={_share(kinds[1], len(text))}", f"digits={_share(kinds[2], len(text))}", f"marks={_share(kinds[3], len(text))}", f"distinct={_share(len(words), len(tokens))}", f"distinct lines={_share(len(set(lines)), len(lines))}",
+        ]
+        page.append(np.array(sorted({xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) & (TAGS - 1) for t in tags}), np.uint32))
+    return content, page
+
+
+def _inputs(docs: DataFrame, text_col: str) -> list:
+    """Text, language, source and length: columns that are not there are null."""
+    have = set(docs.columns)
+    of = lambda c, kind: F.col(f"`{c}`").cast(kind) if c in have else F.lit(None).cast(kind)
+    return [of(text_col, "string"), of("lang", "string"), of("source", "string"), of("n_chars", "double")]
 
 
-def _logit(model, df: DataFrame, name: str) -> DataFrame:
-    return model.transform(df).withColumn(name, vector_to_array("_ct_raw")[1]).drop("_ct_raw", "_ct_p")
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, content, page): the buckets of each view as little-endian unsigned 32-bit integers."""
 
+    def run(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
+        a, b = vectors(text.tolist(), lang.tolist(), source.tolist(), n.tolist())
+        return pd.DataFrame({"content": [x.tobytes() for x in a], "page": [x.tobytes() for x in b]})
 
-def _vector(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumn("_ct_x", array_to_vector(F.array(*cols)))
+    made = F.pandas_udf(run, "content binary, page binary").asNondeterministic()(*_inputs(docs, text_col))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), made.alias("x")).select("id", "x.content", "x.page")
 
 
+@dataclass
 class Target:
-    """One target's fitted views, calibrations and combination, or its constant probability."""
-
-    def __init__(self, seen: DataFrame, held: DataFrame, pool: DataFrame, rounds: int = ROUNDS):
-        counts = {(r["h"], r["_ct_y"]): r["n"] for r in seen.select("_ct_y", F.lit(0).alias("h")).union(held.select("_ct_y", F.lit(1).alias("h"))).groupBy("h", "_ct_y").agg(F.count("*").alias("n")).collect()}
-        ones, n = sum(v for (_, y), v in counts.items() if y == 1.0), sum(counts.values())
-        self.constant, self.history = (None if len(counts) == 4 else (ones + 1) / (n + 2)), []
-        if self.constant is not None:
-            return
-        regs = {"_ct_content": (0.001, 1.0), "_ct_page": (0.01, 0.0)}
-        learned = {v: _fit(seen, v, *r) for v, r in regs.items()}
-        pool_n = pool.count()
-        base = counts.get((0, 1.0), 0) / max(1, counts.get((0, 1.0), 0) + counts.get((0, 0.0), 0))
-        for _ in range(rounds if pool_n >= 20 else 0):
-            scored = reduce(lambda d, v: _logit(learned[v], d, v + "_l"), regs, pool)
-            # the most certain of either class, in the shares that the labels show
-            edges = scored.select(*[F.percentile(v + "_l", F.array(F.lit((1 - base) * CONFIDENT), F.lit(1 - base * CONFIDENT))).alias(v) for v in regs]).first()
-            fresh = {}
-            for v, other in zip(regs, reversed(regs), strict=True):
-                low, high = edges[other]
-                y = F.when(F.col(other + "_l") >= F.lit(max(high, 0.0)), 1.0).when(F.col(other + "_l") <= F.lit(min(low, 0.0)), 0.0)
-                fresh[v] = scored.select(v, y.alias("_ct_y")).where("_ct_y is not null")
-            self.history.append(edges.asDict())
-            learned = {v: _fit(seen.select(v, "_ct_y").unionByName(fresh[v]), v, *regs[v]) for v in regs}
-        self.views = learned
-        held = reduce(lambda d, v: _logit(learned[v], d, v + "_l"), regs, held)
-        self.platt = {}
-        for v in regs:
-            self.platt[v] = _fit(_vector(held, v + "_l"), "_ct_x", 1e-3)
-        held = self._calibrated(held)
-        self.blend = _fit(_vector(held, *[v + "_c" for v in regs]), "_ct_x", 1e-3)
-
-    def _calibrated(self, df: DataFrame) -> DataFrame:
-        for v, m in self.platt.items():
-            df = df.withColumn(v + "_c", F.col(v + "_l") * float(m.coefficients[0]) + float(m.intercept))
-        return df
-
-    def score(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` with ``name`` and the views' own ``name_content`` and ``name_page``: calibrated probabilities."""
-        if self.constant is not None:
-            return df.withColumns({c: F.lit(self.constant) for c in (name, f"{name}_content", f"{name}_page")})
-        df = self._calibrated(reduce(lambda d, v: _logit(self.views[v], d, v + "_l"), self.views, df))
-        prob = lambda x: 1 / (1 + F.exp(-x))
-        blend = sum((F.col(v + "_c") * float(w) for v, w in zip(self.platt, self.blend.coefficients, strict=True)), F.lit(float(self.blend.intercept)))
-        out = df.withColumns({name: prob(blend), f"{name}_content": prob(F.col("_ct_content_c")), f"{name}_page": prob(F.col("_ct_page_c"))})
-        return out.drop(*[v + s for v in self.platt for s in ("_l", "_c")])
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = LABELLED, pool: int = POOL) -> dict[str, Target]:
-    """Fits every target. A label of a repeated id counts once, the least of its values."""
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_ct_id")).agg(*[F.min(c).alias(f"_ct_{c}") for c, _ in TARGETS.values()])
-    picked = known.orderBy(F.xxhash64("_ct_id", F.lit(1))).limit(labelled)
-    need = [c for c in (id_col, "text", "lang", "source", "n_chars") if c in docs.columns]
-    one = docs.select(*need).where(F.col(id_col).isNotNull())
-    spare = one.select(F.col(id_col).alias("_ct_id")).join(known.select("_ct_id"), "_ct_id", "left_anti").orderBy(F.xxhash64("_ct_id", F.lit(2))).limit(pool)
-    chosen = saved(picked.select("*", F.lit(False).alias("_ct_pool")).unionByName(spare.withColumn("_ct_pool", F.lit(True)), allowMissingColumns=True), "sample")  # labelled + pool rows at most
-    rows = one.join(F.broadcast(chosen), one[id_col] == chosen["_ct_id"]).drop(id_col).dropDuplicates(["_ct_id"])
-    rows = saved(views(rows).select("_ct_id", "_ct_pool", "_ct_content", "_ct_page", *[f"_ct_{c}" for c, _ in TARGETS.values()]).repartition(8), "views").cache()
-    own = rows.where("not _ct_pool").withColumn("_ct_held", F.pmod(F.xxhash64("_ct_id", F.lit(3)), F.lit(4)) == 0)
-    out = {}
-    for name, (col, bad) in TARGETS.items():
-        marked = own.where(F.col(f"_ct_{col}").isNotNull()).withColumn("_ct_y", (F.col(f"_ct_{col}") == bad).cast("double"))
-        out[name] = Target(marked.where("not _ct_held"), marked.where("_ct_held"), rows.where("_ct_pool"))
-    rows.unpersist()
+    """One target's views (weights by bucket, intercept), their calibrations and combination, or its constant probability."""
+
+    constant: float | None = None
+    weights: dict[str, np.ndarray] = field(default_factory=dict)
+    platt: dict[str, np.ndarray] = field(default_factory=dict)
+    blend: np.ndarray | None = None
+    base: float = 0.5
+
+    def logits(self, view: str, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Uncalibrated logits of documents whose buckets follow each other."""
+        sums = np.concatenate([[0.0], np.cumsum(self.weights[view][ids])])
+        ends = np.cumsum(sizes)
+        return sums[ends] - sums[ends - sizes]
+
+    def calibrated(self, view: str, logits: np.ndarray) -> np.ndarray:
+        return self.platt[view][0] * logits + self.platt[view][1]
+
+    def sure(self, view: str, logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which documents ``view`` holds to be of class 0, and of class 1."""
+        z = self.calibrated(view, logits)
+        return z <= logit(RARE * self.base), z >= logit(SURE)
+
+    def probabilities(self, content: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of both views together, of the content alone, of the page alone."""
+        a, b = self.calibrated("content", content), self.calibrated("page", page)
+        return expit(self.blend[0] * a + self.blend[1] * b + self.blend[2]), expit(a), expit(b)
+
+
+def logit(p: float) -> float:
+    return float(np.log(p / (1 - p)))
+
+
+def expit(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of the columns and, last, the intercept: Newton's method."""
+    scale = np.maximum(np.abs(x).mean(axis=0), 1e-9)
+    a = np.column_stack([x / scale, np.ones(len(x))])
+    w, hold = np.zeros(a.shape[1]), np.diag([*[ridge] * x.shape[1], 1e-9])
+    loss = lambda w: np.logaddexp(0, a @ w).sum() - y @ (a @ w) + w @ hold @ w / 2
+    for _ in range(50):
+        p = expit(a @ w)
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + hold + 1e-9 * np.eye(len(w)), a.T @ (p - y) + hold @ w)
+        rate, now = 1.0, loss(w)
+        while rate > 1e-6 and loss(w - rate * step) > now:
+            rate /= 2
+        w = w - rate * step
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.append(w[:-1] / scale, w[-1])
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all rows, their number by row)."""
+    raw = column.to_pylist()
+    return np.frombuffer(b"".join(raw), np.uint32), np.array([len(x) // 4 for x in raw], np.int64)
+
+
+_LABELS = [f"y_{t}" for t in TARGETS]
+
+
+def tally(marked: DataFrame, models: dict[str, Target]) -> DataFrame:
+    """(view, target, bucket, l0, l1, p0, p1): documents of either class that hold the bucket, labelled and pseudo-labelled; bucket -1 counts
+    all. A task sends one row for each bucket that it met."""
+    names = list(TARGETS)
+
+    def run(batches):
+        sums = {(v, t): np.zeros((4, n + 1), np.int64) for v, n in SIZES.items() for t in names}
+        for batch in batches:
+            held = batch.column(2).to_numpy(zero_copy_only=False)
+            cols = dict(zip(SIZES, (_joined(batch.column(0)), _joined(batch.column(1))), strict=True))
+            for t, y in zip(names, (batch.column(3), batch.column(4)), strict=True):
+                y = y.fill_null(-1).to_numpy(zero_copy_only=False)
+                taught = {}
+                if t in models and models[t].constant is None:
+                    taught = {_OTHER[v]: models[t].sure(v, models[t].logits(v, *cols[v])) for v in SIZES}
+                for v, (ids, sizes) in cols.items():
+                    classes = [(y == 0) & ~held, (y == 1) & ~held, *((y < 0) & own for own in taught.get(v, ()))]
+                    for k, own in enumerate(classes):
+                        if own.any():
+                            sums[v, t][k, :-1] += np.bincount(ids[np.repeat(own, sizes)], minlength=SIZES[v])
+                            sums[v, t][k, -1] += own.sum()
+        for (v, t), x in sums.items():
+            at = np.flatnonzero(x.any(axis=0))
+            for a in range(0, len(at), 10_000):
+                k = at[a : a + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(k)), pa.array([t] * len(k)), pa.array(np.where(k == SIZES[v], -1, k)), *map(pa.array, x[:, k])], ["view", "target", "bucket", "l0", "l1", "p0", "p1"])
+
+    parts = marked.select("content", "page", "held", *_LABELS).mapInArrow(run, "view string, target string, bucket bigint, l0 bigint, l1 bigint, p0 bigint, p1 bigint")
+    return parts.groupBy("view", "target", "bucket").agg(*[F.sum(c).alias(c) for c in ("l0", "l1", "p0", "p1")])
+
+
+def _fit(counts: DataFrame, totals: dict) -> dict[tuple[str, str], np.ndarray]:
+    """Weights of each view and target. ``totals``: (view, target) -> (l0, l1, p0, p1). Only significant buckets reach the driver."""
+    one = lambda c: F.element_at(F.create_map(*[x for k, v in totals.items() for x in (F.lit("|".join(k)), F.lit(float(v[c])))]), F.concat("view", F.lit("|"), "target"))
+    n = [one(c) for c in range(4)]
+    weigh = [F.when(n[2 + c] > 0, F.least(F.lit(1.0), n[c] / n[2 + c])).otherwise(0.0) for c in (0, 1)]
+    held = [F.col(f"l{c}") + weigh[c] * F.col(f"p{c}") for c in (0, 1)]
+    of = [n[c] + weigh[c] * n[2 + c] for c in (0, 1)]
+    rows = counts.where("bucket >= 0").select("view", "target", "bucket", held[0].alias("a"), held[1].alias("b"), of[0].alias("m"), of[1].alias("n"))
+    part = lambda seen, want: F.when(seen > 0, seen * F.log(seen / want)).otherwise(0.0)
+    share = (F.col("a") + F.col("b")) / (F.col("m") + F.col("n"))
+    g = 2 * sum(part(F.col(seen), F.col(all_) * share) + part(F.col(all_) - F.col(seen), F.col(all_) * (1 - share)) for seen, all_ in (("a", "m"), ("b", "n")))
+    odds = lambda seen, all_: F.log((F.col(seen) + SMOOTH) / (F.col(all_) - F.col(seen) + SMOOTH))
+    out = {k: np.zeros(SIZES[k[0]]) for k in totals}
+    for r in rows.where(g >= SIGNIFICANT).select("view", "target", "bucket", (odds("b", "n") - odds("a", "m")).alias("w")).collect():  # of a fixed number of buckets
+        out[r["view"], r["target"]][r["bucket"]] = r["w"]
     return out
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``_ct_low_quality``, ``_ct_toxic``, each view's own, and ``_ct_keep``."""
-    targets = train(docs, labels, id_col)
-    out = views(docs)
-    for name, t in targets.items():
-        out = t.score(out, f"_ct_{name}")
-    return out.drop("_ct_content", "_ct_page").withColumn("_ct_keep", (F.col("_ct_low_quality") < THRESHOLD) & (F.col("_ct_toxic") < THRESHOLD))
+def _held_out(marked: DataFrame, models: dict[str, Target]) -> dict[str, np.ndarray]:
+    """(content logit, page logit, label) of CALIBRATION held-out rows at most, by target."""
+    live = [t for t in TARGETS if models[t].constant is None]
+
+    def run(content: pd.Series, page: pd.Series) -> pd.DataFrame:
+        cols = dict(zip(SIZES, (_joined(pa.array(content)), _joined(pa.array(page))), strict=True))
+        return pd.DataFrame({f"{t}_{v}": models[t].logits(v, *cols[v]) for t in live for v in SIZES})
+
+    scores = F.pandas_udf(run, ", ".join(f"{t}_{v} double" for t in live for v in SIZES)).asNondeterministic()
+    few = marked.where("held").orderBy("h").limit(CALIBRATION)
+    got = few.select(scores("content", "page").alias("s"), *_LABELS).select("s.*", *_LABELS).toPandas()
+    return {t: got.loc[got[f"y_{t}"].notna(), [f"{t}_content", f"{t}_page", f"y_{t}"]].to_numpy(float) for t in live}
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> dict[str, Target]:
+    """Fits every target."""
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[(F.min(c) == bad).cast("int").alias(f"y_{t}") for t, (c, bad) in TARGETS.items()])
+    own = features(docs, id_col, text_col)
+    # null ids have no label and must not meet in one task
+    marked = own.where("id is not null").join(known, "id", "left").unionByName(own.where("id is null"), allowMissingColumns=True)
+    has = F.coalesce(*_LABELS).isNotNull()
+    h = F.xxhash64("id", F.lit(3))
+    marked = saved(marked.select("content", "page", *_LABELS, h.alias("h"), (has & (F.pmod(h, F.lit(4)) == 0)).alias("held")), "features")
+    shares = marked.groupBy("held").agg(*[F.count_if(F.col(f"y_{t}") == c).alias(f"{t}{c}") for t in TARGETS for c in (0, 1)]).collect()
+    models = {}
+    for t in TARGETS:
+        n = {(r["held"], c): r[f"{t}{c}"] for r in shares for c in (0, 1)}
+        ones, all_ = sum(n.get((x, 1), 0) for x in (True, False)), sum(n.values())
+        models[t] = Target(None if all(n.get((x, c)) for x in (True, False) for c in (0, 1)) else (ones + 1) / (all_ + 2), base=(ones + 1) / (all_ + 2))
+    if all(m.constant is not None for m in models.values()):
+        return models
+    for now in range(rounds + 1):
+        counts = saved(tally(marked, models if now else {}), "counts")
+        totals = {(r["view"], r["target"]): tuple(r[c] for c in ("l0", "l1", "p0", "p1")) for r in counts.where("bucket < 0").collect()}
+        for (v, t), w in _fit(counts, totals).items():
+            models[t].weights[v] = w
+        for t, x in _held_out(marked, models).items():
+            for k, v in enumerate(SIZES):
+                models[t].platt[v] = logistic(x[:, [k]], x[:, 2])
+            if now == rounds:
+                z = np.column_stack([models[t].calibrated(v, x[:, k]) for k, v in enumerate(SIZES)])
+                models[t].blend = logistic(z, x[:, 2])
+    return models
+
+
+PARTS = [f"{t}{v}" for t in TARGETS for v in ("", "_content", "_page")]
+
+
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", to: str = "_quality") -> DataFrame:
+    """``docs`` with a struct ``to``: low_quality and toxic, each view's own (``_content``, ``_page``), and keep."""
+    models = train(docs, labels, id_col, text_col)
+
+    def run(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
+        own = dict(zip(SIZES, vectors(text.tolist(), lang.tolist(), source.tolist(), n.tolist()), strict=True))
+        cols = {v: (np.concatenate([np.zeros(0, np.uint32), *x]), np.array([len(y) for y in x], np.int64)) for v, x in own.items()}
+        out, keep = {}, np.ones(len(text), bool)
+        for t, m in models.items():
+            if m.constant is not None:
+                p = (np.full(len(text), m.constant),) * 3
+            else:
+                p = m.probabilities(*(m.logits(v, *cols[v]) for v in SIZES))
+                keep &= p[0] < THRESHOLD
+            out |= dict(zip((t, f"{t}_content", f"{t}_page"), p, strict=True))
+        return pd.DataFrame(out | {"keep": keep})
+
+    score = F.pandas_udf(run, ", ".join(f"{c} double" for c in PARTS) + ", keep boolean").asNondeterministic()
+    return docs.withColumn(to, score(*_inputs(docs, text_col)))
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their own columns."""
-    return scored(docs, labels).where("_ct_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    to = "_quality"
+    while to in docs.columns:
+        to += "_"
+    return scored(docs, labels, id_col, text_col, to).where(F.col(to)["keep"]).drop(to)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     out = scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    p = lambda c: F.round(f"_ct_{c}", 6).alias(c)
-    return out.select("doc_id", *[p(f"{t}{v}") for t in TARGETS for v in ("", "_content", "_page")], F.col("_ct_keep").alias("keep"))
+    return out.select("doc_id", *[F.round(F.col("_quality")[c], 6).alias(c) for c in PARTS], F.col("_quality")["keep"].alias("keep"))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -107,11 +108,11 @@ class Spool:
                         yield from finish()
                         now, path, held = f[a], None, []
                     part = batch.slice(a, b - a)
-                    own = pa.compute.is_valid(names.slice(a, b - a))
+                    own = pc.is_valid(names.slice(a, b - a))
                     named = part.filter(own)
                     if named.num_rows:
                         path = named.column(named.schema.get_field_index("path"))[0].as_py()
-                    held.append(part.filter(pa.compute.invert(own)))
+                    held.append(part.filter(pc.invert(own)))
             yield from finish()
 
         return dealt.mapInArrow(run, schema)
