@@ -288,7 +288,7 @@ def test_quality_held_out(spark):
     truth = {-i: (q, t) for i, q, t in labels if i < 0}
     out = {r["doc_id"]: r for r in quality.scored(docs, known).collect()}
     assert len(out) == 700
-    right = sum((out[i]["_ct_keep"]) == (q == 1 and t == 0) for i, (q, t) in truth.items())
+    right = sum(out[i]["_quality"]["keep"] == (q == 1 and t == 0) for i, (q, t) in truth.items())
     assert right / len(truth) > 0.9
     assert quality.accepted(docs, known).columns == docs.columns
     assert quality.accepted(docs, known.limit(0)).count() == 700  # without labels nothing is rejected
