@@ -17,14 +17,15 @@ and it rejects nothing. An empty table gives an empty result. Columns of any oth
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import re
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,21 +37,24 @@ WORDS, TAGS = 1 << 18, 1 << 14
 SIZES = {"content": WORDS, "page": TAGS}
 TARGETS = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 THRESHOLD = 0.5
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+TOKEN = re.compile(r"\w+|[^\w\s]+")
 _OTHER = {"content": "page", "page": "content"}
 
 
 class _Buckets(dict):
-    """Word -> bucket; forgotten when full, which costs time only."""
+    """Word -> one of ``n`` buckets; forgotten when full, which costs time only."""
+
+    def __init__(self, n: int):
+        self.n = n
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 300_000:
             self.clear()
-        self[word] = n = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & (WORDS - 1)
-        return n
+        self[word] = k = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % self.n
+        return k
 
 
-_KNOWN = _Buckets()
+_KNOWN, _TAGS = _Buckets(WORDS), _Buckets(TAGS)
 
 
 @lru_cache(1)
@@ -65,25 +69,32 @@ def _share(a: float, b: float) -> int:
     return int(20 * a / b) if b else -1
 
 
-def vectors(texts: list, langs: list, sources: list, n_chars: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct buckets of each document, ascending: content and page."""
-    content, page = [], []
-    for text, lang, source, n in zip(texts, langs, sources, n_chars, strict=True):
+def vectors(texts: list, langs: list, sources: list, n_chars: list) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(distinct buckets of the documents, one after the other and ascending in each; their number by document) of each view."""
+    found = [TOKEN.findall((text or "").lower()) for text in texts]
+    n_tokens = np.array([len(x) for x in found], np.int64)
+    buckets = np.fromiter(map(_KNOWN.__getitem__, chain.from_iterable(found)), np.int64, int(n_tokens.sum()))
+    content = _distinct(buckets, n_tokens, WORDS)
+    tags = []
+    for text, lang, source, n, tokens, words in zip(texts, langs, sources, n_chars, n_tokens.tolist(), content[1].tolist(), strict=True):
         text = text or ""
-        tokens = TOKEN.findall(text.lower())
-        words = set(tokens)
-        content.append(np.array(sorted({_KNOWN[w] for w in words}), np.uint32))
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         kinds = np.bincount(_classes()[np.where(points < 1 << 16, points, 0)], minlength=4)
         lines = text.split("\n")
         log = lambda x: int(2 * np.log1p(max(float(x), 0.0)))
         said = len(text) if n is None or n != n else n
-        tags = [
-            f"source={source}", f"lang={lang}", f"chars={log(said)}", f"lines={log(len(lines))}", f"line={log(len(text) / len(lines))}", f"word={_share(len(text), 10 * len(tokens))}",
-            f"capitals={_share(kinds[1], len(text))}", f"digits={_share(kinds[2], len(text))}", f"marks={_share(kinds[3], len(text))}", f"distinct={_share(len(words), len(tokens))}", f"distinct lines={_share(len(set(lines)), len(lines))}",
-        ]
-        page.append(np.array(sorted({xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) & (TAGS - 1) for t in tags}), np.uint32))
-    return content, page
+        tags.append((
+            f"source={source}", f"lang={lang}", f"chars={log(said)}", f"lines={log(len(lines))}", f"line={log(len(text) / len(lines))}", f"word={_share(len(text), 10 * tokens)}",
+            f"capitals={_share(kinds[1], len(text))}", f"digits={_share(kinds[2], len(text))}", f"marks={_share(kinds[3], len(text))}", f"distinct={_share(words, tokens)}", f"distinct lines={_share(len(set(lines)), len(lines))}",
+        ))
+    page = np.fromiter(map(_TAGS.__getitem__, chain.from_iterable(tags)), np.int64, sum(map(len, tags)))
+    return {"content": content, "page": _distinct(page, np.array([len(x) for x in tags], np.int64), TAGS)}
+
+
+def _distinct(buckets: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(np.repeat(np.arange(len(sizes)), sizes) * n + buckets)
+    keys = keys[np.diff(keys, prepend=-1) != 0]
+    return (keys % n).astype(np.uint32), np.bincount(keys // n, minlength=len(sizes))
 
 
 def _inputs(docs: DataFrame, text_col: str) -> list:
@@ -97,8 +108,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, content, page): the buckets of each view as little-endian unsigned 32-bit integers."""
 
     def run(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
-        a, b = vectors(text.tolist(), lang.tolist(), source.tolist(), n.tolist())
-        return pd.DataFrame({"content": [x.tobytes() for x in a], "page": [x.tobytes() for x in b]})
+        made = vectors(text.tolist(), lang.tolist(), source.tolist(), n.tolist())
+        return pd.DataFrame({v: [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(text) else [] for v, (ids, sizes) in made.items()})
 
     made = F.pandas_udf(run, "content binary, page binary").asNondeterministic()(*_inputs(docs, text_col))
     return docs.select(F.col(f"`{id_col}`").alias("id"), made.alias("x")).select("id", "x.content", "x.page")
@@ -167,54 +178,50 @@ def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _LABELS = [f"y_{t}" for t in TARGETS]
+#: Of each target: labelled and pseudo-labelled documents of class 0 and 1.
+_COUNTS = [f"{t}_{k}" for t in TARGETS for k in ("l0", "l1", "p0", "p1")]
 
 
 def tally(marked: DataFrame, models: dict[str, Target]) -> DataFrame:
-    """(view, target, bucket, l0, l1, p0, p1): documents of either class that hold the bucket, labelled and pseudo-labelled; bucket -1 counts
-    all. A task sends one row for each bucket that it met."""
-    names = list(TARGETS)
+    """(view, bucket and _COUNTS): documents that hold the bucket; bucket -1 counts all. A task sends one row for each bucket that it met."""
 
     def run(batches):
-        sums = {(v, t): np.zeros((4, n + 1), np.int64) for v, n in SIZES.items() for t in names}
+        sums = {v: np.zeros((len(_COUNTS), n + 1), np.int64) for v, n in SIZES.items()}
         for batch in batches:
             held = batch.column(2).to_numpy(zero_copy_only=False)
             cols = dict(zip(SIZES, (_joined(batch.column(0)), _joined(batch.column(1))), strict=True))
-            for t, y in zip(names, (batch.column(3), batch.column(4)), strict=True):
-                y = y.fill_null(-1).to_numpy(zero_copy_only=False)
+            for i, t in enumerate(TARGETS):
+                y = batch.column(3 + i).fill_null(-1).to_numpy(zero_copy_only=False)
                 taught = {}
                 if t in models and models[t].constant is None:
                     taught = {_OTHER[v]: models[t].sure(v, models[t].logits(v, *cols[v])) for v in SIZES}
                 for v, (ids, sizes) in cols.items():
-                    classes = [(y == 0) & ~held, (y == 1) & ~held, *((y < 0) & own for own in taught.get(v, ()))]
-                    for k, own in enumerate(classes):
+                    for k, own in enumerate([(y == 0) & ~held, (y == 1) & ~held, *((y < 0) & x for x in taught.get(v, ()))]):
                         if own.any():
-                            sums[v, t][k, :-1] += np.bincount(ids[np.repeat(own, sizes)], minlength=SIZES[v])
-                            sums[v, t][k, -1] += own.sum()
-        for (v, t), x in sums.items():
+                            sums[v][4 * i + k, :-1] += np.bincount(ids[np.repeat(own, sizes)], minlength=SIZES[v])
+                            sums[v][4 * i + k, -1] += own.sum()
+        for v, x in sums.items():
             at = np.flatnonzero(x.any(axis=0))
             for a in range(0, len(at), 10_000):
                 k = at[a : a + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([v] * len(k)), pa.array([t] * len(k)), pa.array(np.where(k == SIZES[v], -1, k)), *map(pa.array, x[:, k])], ["view", "target", "bucket", "l0", "l1", "p0", "p1"])
+                yield pa.RecordBatch.from_arrays([pa.array([v] * len(k)), pa.array(np.where(k == SIZES[v], -1, k)), *map(pa.array, x[:, k])], ["view", "bucket", *_COUNTS])
 
-    parts = marked.select("content", "page", "held", *_LABELS).mapInArrow(run, "view string, target string, bucket bigint, l0 bigint, l1 bigint, p0 bigint, p1 bigint")
-    return parts.groupBy("view", "target", "bucket").agg(*[F.sum(c).alias(c) for c in ("l0", "l1", "p0", "p1")])
+    parts = marked.select("content", "page", "held", *_LABELS).mapInArrow(run, "view string, bucket bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return parts.groupBy("view", "bucket").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
-def _fit(counts: DataFrame, totals: dict) -> dict[tuple[str, str], np.ndarray]:
-    """Weights of each view and target. ``totals``: (view, target) -> (l0, l1, p0, p1). Only significant buckets reach the driver."""
-    one = lambda c: F.element_at(F.create_map(*[x for k, v in totals.items() for x in (F.lit("|".join(k)), F.lit(float(v[c])))]), F.concat("view", F.lit("|"), "target"))
-    n = [one(c) for c in range(4)]
-    weigh = [F.when(n[2 + c] > 0, F.least(F.lit(1.0), n[c] / n[2 + c])).otherwise(0.0) for c in (0, 1)]
-    held = [F.col(f"l{c}") + weigh[c] * F.col(f"p{c}") for c in (0, 1)]
-    of = [n[c] + weigh[c] * n[2 + c] for c in (0, 1)]
-    rows = counts.where("bucket >= 0").select("view", "target", "bucket", held[0].alias("a"), held[1].alias("b"), of[0].alias("m"), of[1].alias("n"))
+def _fit(counts: DataFrame, target: str, view: str, totals: list[int]) -> np.ndarray:
+    """Weights of a view for a target. ``totals``: its l0, l1, p0, p1 of all documents. Only significant buckets reach the driver."""
+    weigh = [min(1.0, totals[c] / totals[2 + c]) if totals[2 + c] else 0.0 for c in (0, 1)]
+    m, n = (totals[c] + weigh[c] * totals[2 + c] for c in (0, 1))
+    rows = counts.where((F.col("view") == view) & (F.col("bucket") >= 0)).select("bucket", *[(F.col(f"{target}_l{c}") + weigh[c] * F.col(f"{target}_p{c}")).alias(x) for c, x in enumerate("ab")])
     part = lambda seen, want: F.when(seen > 0, seen * F.log(seen / want)).otherwise(0.0)
-    share = (F.col("a") + F.col("b")) / (F.col("m") + F.col("n"))
-    g = 2 * sum(part(F.col(seen), F.col(all_) * share) + part(F.col(all_) - F.col(seen), F.col(all_) * (1 - share)) for seen, all_ in (("a", "m"), ("b", "n")))
-    odds = lambda seen, all_: F.log((F.col(seen) + SMOOTH) / (F.col(all_) - F.col(seen) + SMOOTH))
-    out = {k: np.zeros(SIZES[k[0]]) for k in totals}
-    for r in rows.where(g >= SIGNIFICANT).select("view", "target", "bucket", (odds("b", "n") - odds("a", "m")).alias("w")).collect():  # of a fixed number of buckets
-        out[r["view"], r["target"]][r["bucket"]] = r["w"]
+    share = (F.col("a") + F.col("b")) / (m + n)
+    g = 2 * sum(part(F.col(seen), all_ * share) + part(all_ - F.col(seen), all_ * (1 - share)) for seen, all_ in (("a", m), ("b", n)))
+    odds = lambda seen, all_: F.log((F.col(seen) + SMOOTH) / (F.greatest(all_ - F.col(seen), F.lit(0.0)) + SMOOTH))
+    out = np.zeros(SIZES[view])
+    for r in rows.where(g >= SIGNIFICANT).select("bucket", (odds("b", n) - odds("a", m)).alias("w")).collect():  # of a fixed number of buckets
+        out[r["bucket"]] = r["w"]
     return out
 
 
@@ -235,9 +242,9 @@ def _held_out(marked: DataFrame, models: dict[str, Target]) -> dict[str, np.ndar
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> dict[str, Target]:
     """Fits every target."""
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[(F.min(c) == bad).cast("int").alias(f"y_{t}") for t, (c, bad) in TARGETS.items()])
-    own = features(docs, id_col, text_col)
     # null ids have no label and must not meet in one task
-    marked = own.where("id is not null").join(known, "id", "left").unionByName(own.where("id is null"), allowMissingColumns=True)
+    named, other = (features(docs.where(x), id_col, text_col) for x in (F.col(f"`{id_col}`").isNotNull(), F.col(f"`{id_col}`").isNull()))
+    marked = named.join(known, "id", "left").unionByName(other, allowMissingColumns=True)
     has = F.coalesce(*_LABELS).isNotNull()
     h = F.xxhash64("id", F.lit(3))
     marked = saved(marked.select("content", "page", *_LABELS, h.alias("h"), (has & (F.pmod(h, F.lit(4)) == 0)).alias("held")), "features")
@@ -251,9 +258,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return models
     for now in range(rounds + 1):
         counts = saved(tally(marked, models if now else {}), "counts")
-        totals = {(r["view"], r["target"]): tuple(r[c] for c in ("l0", "l1", "p0", "p1")) for r in counts.where("bucket < 0").collect()}
-        for (v, t), w in _fit(counts, totals).items():
-            models[t].weights[v] = w
+        totals = {r["view"]: r for r in counts.where("bucket < 0").collect()}  # a row a view
+        for t, m in models.items():
+            if m.constant is None:
+                m.weights = {v: _fit(counts, t, v, [totals[v][f"{t}_{k}"] for k in ("l0", "l1", "p0", "p1")]) for v in SIZES}
         for t, x in _held_out(marked, models).items():
             for k, v in enumerate(SIZES):
                 models[t].platt[v] = logistic(x[:, [k]], x[:, 2])
@@ -271,8 +279,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     models = train(docs, labels, id_col, text_col)
 
     def run(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
-        own = dict(zip(SIZES, vectors(text.tolist(), lang.tolist(), source.tolist(), n.tolist()), strict=True))
-        cols = {v: (np.concatenate([np.zeros(0, np.uint32), *x]), np.array([len(y) for y in x], np.int64)) for v, x in own.items()}
+        cols = vectors(text.tolist(), lang.tolist(), source.tolist(), n.tolist())
         out, keep = {}, np.ones(len(text), bool)
         for t, m in models.items():
             if m.constant is not None:
