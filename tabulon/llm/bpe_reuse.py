@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, texts
-from .simple8b import slices
+from .common import slices, table, texts
 
 WINDOW, MASK = 32, (1 << 8) - 1
 MAX_WORDS, MAX_CHUNK_CHARS = 300_000, 12 << 20

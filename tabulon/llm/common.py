@@ -64,6 +64,18 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def slices(texts: list, limit: int = 1 << 20):
+    """(from, to) of runs of about ``limit`` characters."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= limit:
+            yield a, i + 1
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables that hold whole groups, from batches sorted by ``keys``: a batch's last group waits for the next batch."""
     held: list[pa.RecordBatch] = []

@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, slices, table
 
 ROUNDS, SURE, RARE, SIGNIFICANT, SMOOTH, CALIBRATION = 2, 0.9, 0.1, 15.0, 0.5, 16_000
-WORDS, TAGS = 1 << 18, 1 << 14
+WORDS, TAGS, BROADCAST_ROWS, SLICE_CHARS = 1 << 18, 1 << 14, 1_000_000, 1 << 21
 SIZES = {"content": WORDS, "page": TAGS}
 TARGETS = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 THRESHOLD = 0.5
@@ -69,8 +69,16 @@ def _share(a: float, b: float) -> int:
     return int(20 * a / b) if b else -1
 
 
-def vectors(texts: list, langs: list, sources: list, n_chars: list) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def vectors(texts: pd.Series, *meta: pd.Series) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """(distinct buckets of the documents, one after the other and ascending in each; their number by document) of each view."""
+    done = []
+    for a, b in slices(texts := texts.tolist(), SLICE_CHARS):  # a slice's words are in memory at a time
+        done.append(_vectors(texts[a:b], *(m.iloc[a:b].tolist() for m in meta)))
+    empty = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    return {v: tuple(map(np.concatenate, zip(empty, *(d[v] for d in done), strict=True))) for v in SIZES}
+
+
+def _vectors(texts: list, langs: list, sources: list, n_chars: list) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     found = [TOKEN.findall((text or "").lower()) for text in texts]
     n_tokens = np.array([len(x) for x in found], np.int64)
     buckets = np.fromiter(map(_KNOWN.__getitem__, chain.from_iterable(found)), np.int64, int(n_tokens.sum()))
@@ -108,7 +116,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, content, page): the buckets of each view as little-endian unsigned 32-bit integers."""
 
     def run(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
-        made = vectors(text.tolist(), lang.tolist(), source.tolist(), n.tolist())
+        made = vectors(text, lang, source, n)
         return pd.DataFrame({v: [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(text) else [] for v, (ids, sizes) in made.items()})
 
     made = F.pandas_udf(run, "content binary, page binary").asNondeterministic()(*_inputs(docs, text_col))
@@ -244,7 +252,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[(F.min(c) == bad).cast("int").alias(f"y_{t}") for t, (c, bad) in TARGETS.items()])
     # null ids have no label and must not meet in one task
     named, other = (features(docs.where(x), id_col, text_col) for x in (F.col(f"`{id_col}`").isNotNull(), F.col(f"`{id_col}`").isNull()))
-    marked = named.join(known, "id", "left").unionByName(other, allowMissingColumns=True)
+    known = saved(known, "labels")
+    # a row is a long and two ints: BROADCAST_ROWS of them are under 40 MB; more labels meet the features by a shuffle
+    marked = named.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "id", "left").unionByName(other, allowMissingColumns=True)
     has = F.coalesce(*_LABELS).isNotNull()
     h = F.xxhash64("id", F.lit(3))
     marked = saved(marked.select("content", "page", *_LABELS, h.alias("h"), (has & (F.pmod(h, F.lit(4)) == 0)).alias("held")), "features")
@@ -279,7 +289,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     models = train(docs, labels, id_col, text_col)
 
     def run(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
-        cols = vectors(text.tolist(), lang.tolist(), source.tolist(), n.tolist())
+        cols = vectors(text, lang, source, n)
         out, keep = {}, np.ones(len(text), bool)
         for t, m in models.items():
             if m.constant is not None:

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, saved, table, texts
+from .common import new_path, saved, slices, table, texts
 from .files import attempt_path, one_task_each, opened
 
 #: (ranks, bits of each) by selector.
 SELECTORS = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK, GROUP_IDS, END_ID = 1024, 1 << 21, 2
-MAX_CHUNKS, SLICE_BYTES, PACKED_AT_ONCE = 250_000, 1 << 20, BLOCK << 8
+MAX_CHUNKS, PACKED_AT_ONCE = 250_000, BLOCK << 8
 _COUNT = np.array([n for n, _ in SELECTORS], np.int64)
 _HEAD = struct.Struct("<4sIQIIQ")
 _NULL = np.iinfo(np.int64).min
@@ -260,18 +260,6 @@ class ChunkIds:
         return ids, sizes
 
 
-def slices(texts: list, limit: int = SLICE_BYTES):
-    """(from, to) of runs of about ``limit`` characters."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= limit:
-            yield a, i + 1
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
 _MEMO: dict = {}
 
 
