@@ -4,16 +4,25 @@ A byte is removed where a string of LENGTH bytes that covers it starts anywhere
 places: the places whose GRAM-byte hash is least within a window (all of them, on ties). So only suffixes at anchors whose hash occurs
 again are sorted, group by group. Suffixes are compared by binary search over prefix polynomial hashes for their common extension, and a
 merge sort ranks each run's suffixes in its sibling by such comparisons. A pair's common extension to the right is then the least of the
-neighbours' between them, to the left it is searched the same way; where both make LENGTH bytes, the pair's run is removed. Each reported
-run is compared byte by byte; a group where hashes deceived is done again by bytes.
+neighbours' between them, to the left it is searched the same way; where both make LENGTH bytes, the pair's run is removed. In groups of
+over PAIRED members no pairs are listed: the texts before the anchors are sorted in the same way, from the anchor backwards, and for each
+share of LENGTH to either side the two orders' runs of common extension meet, which gives the members that agree on both.
+Collision verification: neighbours' order and common extension, and what a pair shares to the left, are compared byte by byte, so a run is
+removed only where bytes agree; a group where hashes deceived is done again by bytes. Equal bytes always have equal hashes.
 
-Texts that occur again as a whole are settled by their digest, and one of each stands for all in the sort. Large groups list no pairs:
-for each place of the window about the anchor, equal window hashes are found by sorting. Null counts as empty, texts shorter than LENGTH
-lose nothing, every row gives a row, also repeated ones; an empty table gives none. Matches are judged on the input."""
+A group of over LARGE members never meets in one task. Its windows are split by how much of them stands before the anchor, in PARTS ranges:
+members that share what all windows of a range have in common (by digest) form the range's groups, members whose windows of a range are
+all equal are settled by a 128-bit BLAKE2 digest, counted with partial sums, and one stands for them. Groups that are still too large are
+split again, until a range is a single window.
+
+Texts that occur again as a whole are settled by their digest too, and one of each stands for all. Null counts as empty, texts shorter than
+LENGTH lose nothing, texts of any length are read whole, every row gives a row, also repeated ones (equal ids, null ids); an empty table
+gives none. Matches are judged on the input, of ties all go. Columns other than id and text are not read."""
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +33,7 @@ from .common import grouped, saved, table
 from .spool import Spool
 
 LENGTH, GRAM = 400, 128
-PAIRED, BATCH_ROWS = 64, 1000
+PAIRED, LARGE, PARTS, BATCH_ROWS = 64, 2048, 8, 1000
 _RNG = np.random.default_rng(7_400)
 _BYTE = _RNG.integers(1, 1 << 64, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 1
@@ -158,6 +167,44 @@ def _exact(lefts: list[bytes], rights: list[bytes], length: int) -> list[tuple[i
     return best
 
 
+def _agree(texts: list[bytes], i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether texts i and j agree on their first n bytes and are in order."""
+    return np.fromiter((texts[x][:k] == texts[y][:k] and texts[x] <= texts[y] for x, y, k in zip(i.tolist(), j.tolist(), n.tolist(), strict=True)), bool, len(i))
+
+
+def _ordered(sums: Hashes, texts: list[bytes], at: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the suffixes, each one's common extension with the one before it or -1 at a group's first, groups where hashes deceived)."""
+    order = suffix_order(sums, at, size, group)
+    i, j = order[:-1], order[1:]
+    k = np.flatnonzero(group[i] == group[j])
+    common = np.full(len(at), -1, np.int64)
+    common[k + 1] = sums.common(at[i[k]], at[j[k]], np.minimum(size[i[k]], size[j[k]]))
+    return order, common, group[i[k[~_agree(texts, i[k], j[k], common[k + 1])]]]
+
+
+def _meeting(order: np.ndarray, lcp: np.ndarray, back: np.ndarray, lcs: np.ndarray, nl: np.ndarray, nr: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after) of the members of large groups, from both orders: at each distance d those with the d bytes before and the length - d
+    bytes after the anchor in common are runs of either order."""
+    n = len(order)
+    before, after, hit = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    r, l = np.empty(n, np.int64), np.empty(n, np.int64)
+    changes = np.zeros(length + 2, bool)  # distances at which a run or a member comes or goes
+    for x in (length - lcp, lcs + 1, length - nr, nl + 1):
+        changes[np.clip(x, 0, length + 1)] = True
+    for d in range(int(nl.max(initial=0)) + 1):
+        if changes[d] or not d:
+            r[order], l[back] = np.cumsum(lcp < length - d), np.cumsum(lcs < d)
+            m = np.flatnonzero((nl >= d) & (nr >= length - d))
+            key = l[m] * (n + 1) + r[m]
+            by = np.argsort(key, kind="stable")
+            same = key[by[1:]] == key[by[:-1]]
+            hit[:] = False
+            hit[m[by[1:][same]]] = hit[m[by[:-1][same]]] = True
+        before[hit] = d
+        after[hit] = np.maximum(after[hit], length - d)
+    return before, after
+
+
 def repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For members of adjacent groups that share an anchor: how many bytes before and after it are to go (0, 0: none)."""
     n = len(group)
@@ -165,33 +212,30 @@ def repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length:
     ends = np.cumsum(nl + nr)
     at = ends - nr
     sums = Hashes(np.frombuffer(b"".join(x for p in zip(lefts, rights, strict=True) for x in p), np.uint8), ends)
-    order = suffix_order(sums, at, nr, group)
-    before, after, why_l, why_r = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
+    order, lcp, deceived = _ordered(sums, rights, at, nr, group)
+    wrong = set(deceived.tolist())
+    before, after, why = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
 
     def note(i, j, l, r):
         for a, b in ((i, j), (j, i)):
             # a member may come up once for each distance only, so plain assignment is enough
             up = l > before[a]
-            before[a[up]], why_l[a[up]] = l[up], b[up]
-            up = r > after[a]
-            after[a[up]], why_r[a[up]] = r[up], b[up]
+            before[a[up]], why[a[up]] = l[up], b[up]
+            after[a] = np.maximum(after[a], r)
 
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     count = np.diff(np.append(first, n))
     stop = np.repeat(first + count, count)
-    large = np.repeat(count > PAIRED, count)
-    i, j = order[:-1], order[1:]
-    together = group[i] == group[j]
-    lcp = np.zeros(n, np.int64)
-    k = np.flatnonzero(together)
-    lcp[k] = sums.common(at[i[k]], at[j[k]], np.minimum(nr[i[k]], nr[j[k]]))
-    k = np.flatnonzero(~large)
+    many = np.repeat(count > PAIRED, count)
+    k = np.flatnonzero(~many)
     r = np.full(n, np.iinfo(np.int64).max)
+    lefts_of: dict[int, list] = {}
     for distance in range(1, PAIRED):
         k = k[k + distance < stop[k]]
+        r[k] = np.minimum(r[k], lcp[k + distance])
+        k = k[r[k] + nl[order[k]] >= length]  # extensions only shrink with the distance
         if not len(k):
             break
-        r[k] = np.minimum(r[k], lcp[k + distance - 1])
         i, j = order[k], order[k + distance]
         most = np.minimum(nl[i], nl[j])
         ok = r[k] + most >= length
@@ -200,31 +244,20 @@ def repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length:
             l = sums.common(at[i], at[j], most[ok], back=True)
             ok = l + own >= length
             note(i[ok], j[ok], l[ok], own[ok])
-    for s, c in zip(first[count > PAIRED], count[count > PAIRED], strict=True):
-        own = np.arange(s, s + c)
-        for d in range(int(nl[own].max()) + 1):
-            m = own[(nl[own] >= d) & (nr[own] >= length - d)]
-            if len(m) < 2:
-                continue
-            h = sums.of(at[m] - d, at[m] - d + length)
-            by = np.argsort(h, kind="stable")
-            same = h[by][1:] == h[by][:-1]
-            if same.any():
-                a, b = m[by[1:][same]], m[by[:-1][same]]
-                before[a], before[b] = np.maximum(before[a], d), np.maximum(before[b], d)
-                fresh = after[a] < length - d
-                after[a[fresh]] = length - d
-                fresh = after[b] < length - d
-                after[b[fresh]] = length - d
-                for x, y in ((a, b), (b, a)):
-                    if any(sums.buf[at[p] - d : at[p] - d + length].tobytes() != sums.buf[at[q] - d : at[q] - d + length].tobytes() for p, q in zip(x[:1], y[:1], strict=True)):
-                        why_l[x[0]] = -2
-    wrong = set(group[why_l == -2].tolist())
-    raw = sums.buf.tobytes()
-    for m in np.flatnonzero((before > 0) | (after > 0)):
-        for b, l, r_ in ((why_l[m], before[m], 0), (why_r[m], 0, after[m])):
-            if b >= 0 and raw[at[m] - l : at[m] + r_] != raw[at[b] - l : at[b] + r_]:
-                wrong.add(int(group[m]))
+            for g, x, y, c in zip(group[i[ok]].tolist(), i[ok].tolist(), j[ok].tolist(), l[ok].tolist(), strict=True):
+                lefts_of.setdefault(g, []).append((x, y, c))
+    for g, pairs in lefts_of.items():  # what the pairs found to the left
+        if any(lefts[x][len(lefts[x]) - c :] != lefts[y][len(lefts[y]) - c :] for x, y, c in pairs):
+            wrong.add(g)
+    if many.any():
+        own = np.flatnonzero(many)
+        mirrored = [lefts[m][::-1] for m in own]
+        to = np.cumsum(nl[own])
+        back, lcs, deceived = _ordered(Hashes(np.frombuffer(b"".join(mirrored), np.uint8), to), mirrored, to - nl[own], nl[own], group[own])
+        wrong.update(deceived.tolist())
+        place = np.cumsum(many) - 1
+        kept = many[order]
+        before[own], after[own] = _meeting(place[order[kept]], lcp[kept], back, lcs, nl[own], nr[own], length)
     for g in wrong:
         own = np.flatnonzero(group == g)
         for m, (l, r_) in zip(own, _exact([lefts[x] for x in own], [rights[x] for x in own], length), strict=True):
@@ -232,8 +265,42 @@ def repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length:
     return before, after
 
 
-def removed(spool: Spool, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(f, row, a, z): byte ranges to remove, overlapping ones included."""
+def _split(spool: Spool, members: DataFrame, length: int) -> DataFrame:
+    """A row for each member (f, row, pos; x, y: the least and most bytes of its windows before the anchor) and range of its windows: g for
+    what they have in common, (k1, k2) for all that they cover, from a to z."""
+
+    def split(f, rows, side):
+        row, pos, lo, hi = (side[c] for c in ("row", "pos", "x", "y"))
+        for _, texts, n in rows:
+            s, e = np.searchsorted(row, [n, n + len(texts)])
+            for at in range(s, e, 1000):
+                out = []
+                for r, p, x, y in zip(*(c[at : min(at + 1000, e)].tolist() for c in (row, pos, lo, hi)), strict=True):
+                    t = texts[r - n]
+                    least, most, step = max(x, length - (len(t) - p)), min(y, p), -(-(y - x + 1) // PARTS)
+                    for a in range(x, y + 1, step):
+                        b = min(a + step - 1, y)
+                        if max(a, least) <= min(b, most):
+                            start, end, name = p - min(b, most), p + length - max(a, least), struct.pack("<iiii", a, b, max(a, least), min(b, most))
+                            g = hashlib.blake2b(t[p - a : p + length - b] + name[:8], digest_size=8).digest()
+                            out.append((g + hashlib.blake2b(t[start:end] + name, digest_size=16).digest(), r, p, a, b, start, end))
+                if out:
+                    keys, *rest = zip(*out, strict=True)
+                    keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 3)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, c].copy()) for c in range(3)), pa.array(np.full(len(out), f)), *(pa.array(c, pa.int64()) for c in rest)], ["g", "k1", "k2", "f", "row", "pos", "x", "y", "a", "z"])
+
+    return spool.each(members, split, ", ".join(f"{c} bigint" for c in ("g", "k1", "k2", "f", "row", "pos", "x", "y", "a", "z")))
+
+
+def _divided(members: DataFrame, group: DataFrame, large: int) -> tuple[DataFrame, DataFrame, bool]:
+    """(members of groups that one task can hold, of larger ones, whether there are such); a member alone is in neither."""
+    sizes = saved(members.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "group-sizes")
+    of = lambda some: group.join(sizes.where(some).select("g"), "g")
+    return of(F.col("n") <= large), of(F.col("n") > large), not sizes.where(F.col("n") > large).isEmpty()
+
+
+def removed(spool: Spool, length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
+    """(f, row, a, z): byte ranges to remove, overlapping ones included. ``large``: members that meet in a task at most."""
     copies = saved(spool.copies(), "copies")
 
     def find(f, rows, side):
@@ -246,44 +313,55 @@ def removed(spool: Spool, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             ends = np.cumsum(sizes)
             at, h = anchors(np.frombuffer(b"".join(x for _, x in own), np.uint8), ends, length, gram)
             doc = np.searchsorted(ends, at, "right")
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), f)), pa.array(np.array([r for r, _ in own])[doc]), pa.array(at - (ends - sizes)[doc])], ["h", "f", "row", "pos"])
-
-    found = saved(spool.each(copies.where("not first").select("f", "row"), find, "h bigint, f bigint, row bigint, pos bigint"), "anchors")
-    again = found.groupBy("h").count().where("count > 1").select("h")
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), f)), pa.array(np.array([r for r, _ in own])[doc]), pa.array(at - (ends - sizes)[doc])], ["g", "f", "row", "pos"])
+
+    found = saved(spool.each(copies.where("not first").select("f", "row"), find, "g bigint, f bigint, row bigint, pos bigint"), "anchors")
+    ranged = lambda df: df.select("g", "f", "row", "pos", F.lit(0).cast("long").alias("x"), F.lit(length - gram).cast("long").alias("y"))
+    small, more, any_more = _divided(found, ranged(found), large)
+    settled = []
+    while any_more:  # at most log(length - gram + 1) / log(PARTS) times
+        rows = saved(_split(spool, more.select("f", "row", "pos", "x", "y"), length), "ranges")
+        classes = saved(rows.groupBy("g", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("f", "row", "pos", "x", "y")).alias("m")), "classes")
+        settled.append(rows.join(classes.where("n > 1").select("g", "k1", "k2"), ["g", "k1", "k2"]).select("f", "row", "a", "z"))
+        ones = classes.select("g", "m.*")
+        fewer, more, any_more = _divided(ones, ones, large)
+        small = small.unionByName(fewer)
 
     def cut(f, rows, side):
-        row, pos, h = side["row"], side["pos"], side["h"]
+        row, pos, g, x, y = (side[c] for c in ("row", "pos", "g", "x", "y"))
         for _, texts, n in rows:
             a, b = np.searchsorted(row, [n, n + len(texts)])
             for s in range(a, b, 5000):
                 z = min(s + 5000, b)
-                left = [texts[r - n][max(0, p - length + gram) : p] for r, p in zip(row[s:z], pos[s:z], strict=True)]
-                right = [texts[r - n][p : p + length] for r, p in zip(row[s:z], pos[s:z], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[s:z]), pa.array(np.full(z - s, f)), pa.array(row[s:z]), pa.array(pos[s:z]), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["h", "f", "row", "pos", "before", "after"])
+                left = [texts[r - n][max(0, p - k) : p] for r, p, k in zip(row[s:z].tolist(), pos[s:z].tolist(), y[s:z].tolist(), strict=True)]
+                right = [texts[r - n][p : p + length - k] for r, p, k in zip(row[s:z].tolist(), pos[s:z].tolist(), x[s:z].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(g[s:z]), pa.array(np.full(z - s, f)), pa.array(row[s:z]), pa.array(pos[s:z]), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["g", "f", "row", "pos", "before", "after"])
 
-    around = spool.each(found.join(again, "h").select("f", "row", "pos", "h"), cut, "h bigint, f bigint, row bigint, pos bigint, before binary, after binary")
+    around = spool.each(small, cut, "g bigint, f bigint, row bigint, pos bigint, before binary, after binary")
 
     def sort(batches):
         def done(t):
-            before, after = repeats(t["h"].to_numpy(), t["before"].to_pylist(), t["after"].to_pylist(), length)
+            before, after = repeats(t["g"].to_numpy(), t["before"].to_pylist(), t["after"].to_pylist(), length)
             k = np.flatnonzero(before + after >= length)
             pos = t["pos"].to_numpy()[k]
             return pa.RecordBatch.from_arrays([pa.array(t["f"].to_numpy()[k]), pa.array(t["row"].to_numpy()[k]), pa.array(pos - before[k]), pa.array(pos + after[k])], ["f", "row", "a", "z"])
 
-        for t in grouped(batches, ["h"]):
-            h, a = t["h"].to_numpy(), 0
-            stops = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+        for t in grouped(batches, ["g"]):
+            g, a = t["g"].to_numpy(), 0
+            stops = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
             for z in stops:  # whole groups, about BATCH_ROWS at a time
-                if z - a >= BATCH_ROWS or z == len(h):
+                if z - a >= BATCH_ROWS or z == len(g):
                     yield done(t.slice(a, z - a))
                     a = z
 
-    spans = around.repartition("h").sortWithinPartitions("h").mapInArrow(sort, "f bigint, row bigint, a bigint, z bigint")
+    spans = around.repartition("g").sortWithinPartitions("g").mapInArrow(sort, "f bigint, row bigint, a bigint, z bigint")
     whole = copies.join(spool.rows.select("f", "row", "n"), ["f", "row"]).where(F.col("n") >= length).select("f", "row", F.lit(0).cast("long").alias("a"), F.col("n").alias("z"))
-    return saved(spans.unionByName(whole), "spans")
+    for own in (*settled, whole):
+        spans = spans.unionByName(own)
+    return saved(spans, "spans")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, large: int = LARGE) -> DataFrame:
     """(id, n_bytes, spans: removed (start, end) runs, kept: remaining bytes), a row for each row."""
     spool = Spool(docs, id_col, text_col)
     item = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -302,7 +380,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kept = [b"".join(t[p:q] for p, q in zip([0, *(x["end"] for x in own)], [*(x["start"] for x in own), len(t)], strict=True)) for t, own in zip(texts, runs, strict=True)]
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts]), pa.array(runs, item), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
-    out = spool.each(removed(spool, length, gram), keep, f"id {spool.id_type}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    out = spool.each(removed(spool, length, gram, large), keep, f"id {spool.id_type}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
