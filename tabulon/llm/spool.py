@@ -77,7 +77,7 @@ class Spool:
         cols = side.columns
         files = self.files.select("f", "path", *[F.lit(None).cast("long").alias(c) for c in cols if c != "f"])
         dealt = files.unionByName(side.select(*[F.col(c).cast("long").alias(c) for c in cols]).withColumn("path", F.lit(None).cast("string")))
-        dealt = dealt.repartition(max(1, 2 * self.n_files), "f").sortWithinPartitions("f", "path", "row")
+        dealt = dealt.repartition(max(1, 2 * self.n_files), "f").sortWithinPartitions("f", "path", "row", *(["pos"] if "pos" in cols else []))
 
         def groups(path):
             with opened(path, "r") as stream:

@@ -10,10 +10,10 @@ share of LENGTH to either side the two orders' runs of common extension meet, wh
 Collision verification: neighbours' order and common extension, and what a pair shares to the left, are compared byte by byte, so a run is
 removed only where bytes agree; a group where hashes deceived is done again by bytes. Equal bytes always have equal hashes.
 
-A group of over LARGE members never meets in one task. Its windows are split by how much of them stands before the anchor, in PARTS ranges:
-members that share what all windows of a range have in common (by digest) form the range's groups, members whose windows of a range are
-all equal are settled by a 128-bit BLAKE2 digest, counted with partial sums, and one stands for them. Groups that are still too large are
-split again, until a range is a single window.
+A group of over LARGE members never meets in one task. Members all of whose windows are equal are settled by a 128-bit BLAKE2 digest, counted
+in each file first, and one stands for them. If still more are left, their windows are split by how much of them stands before the anchor,
+in PARTS ranges: members that share what all windows of a range have in common form the range's groups, and those whose windows of the
+range are all equal are settled likewise; and so on, until a range is a single window.
 
 Texts that occur again as a whole are settled by their digest too, and one of each stands for all. Null counts as empty, texts shorter than
 LENGTH lose nothing, texts of any length are read whole, every row gives a row, also repeated ones (equal ids, null ids); an empty table
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .common import grouped, saved, table
 from .spool import Spool
 
 LENGTH, GRAM = 400, 128
-PAIRED, LARGE, PARTS, BATCH_ROWS = 64, 2048, 8, 1000
+PAIRED, LARGE, PARTS, BATCH_ROWS = 64, 1 << 14, 8, 1000
 _RNG = np.random.default_rng(7_400)
 _BYTE = _RNG.integers(1, 1 << 64, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 1
@@ -265,31 +266,53 @@ def repeats(group: np.ndarray, lefts: list[bytes], rights: list[bytes], length:
     return before, after
 
 
-def _split(spool: Spool, members: DataFrame, length: int) -> DataFrame:
-    """A row for each member (f, row, pos; x, y: the least and most bytes of its windows before the anchor) and range of its windows: g for
-    what they have in common, (k1, k2) for all that they cover, from a to z."""
+def _split(spool: Spool, members: DataFrame, length: int, parts: int) -> DataFrame:
+    """The members (f, row, pos; x, y: the least and most bytes of their windows before the anchor) by range of their windows: g for what they
+    have in common, (k1, k2) for all that they cover. A row for each of these and file: n members, one of them, and what they cover."""
 
     def split(f, rows, side):
         row, pos, lo, hi = (side[c] for c in ("row", "pos", "x", "y"))
+        met: dict[bytes, list] = {}
         for _, texts, n in rows:
             s, e = np.searchsorted(row, [n, n + len(texts)])
-            for at in range(s, e, 1000):
-                out = []
-                for r, p, x, y in zip(*(c[at : min(at + 1000, e)].tolist() for c in (row, pos, lo, hi)), strict=True):
-                    t = texts[r - n]
-                    least, most, step = max(x, length - (len(t) - p)), min(y, p), -(-(y - x + 1) // PARTS)
-                    for a in range(x, y + 1, step):
-                        b = min(a + step - 1, y)
-                        if max(a, least) <= min(b, most):
-                            start, end, name = p - min(b, most), p + length - max(a, least), struct.pack("<iiii", a, b, max(a, least), min(b, most))
-                            g = hashlib.blake2b(t[p - a : p + length - b] + name[:8], digest_size=8).digest()
-                            out.append((g + hashlib.blake2b(t[start:end] + name, digest_size=16).digest(), r, p, a, b, start, end))
-                if out:
-                    keys, *rest = zip(*out, strict=True)
-                    keys = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 3)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(keys[:, c].copy()) for c in range(3)), pa.array(np.full(len(out), f)), *(pa.array(c, pa.int64()) for c in rest)], ["g", "k1", "k2", "f", "row", "pos", "x", "y", "a", "z"])
-
-    return spool.each(members, split, ", ".join(f"{c} bigint" for c in ("g", "k1", "k2", "f", "row", "pos", "x", "y", "a", "z")))
+            for r, p, x, y in zip(*(c[s:e].tolist() for c in (row, pos, lo, hi)), strict=True):
+                t = texts[r - n]
+                least, most, step = max(x, length - (len(t) - p)), min(y, p), -(-(y - x + 1) // parts)
+                for a in range(x, y + 1, step):
+                    b = min(a + step - 1, y)
+                    if max(a, least) <= min(b, most):
+                        start, end, name = p - min(b, most), p + length - max(a, least), struct.pack("<iiii", a, b, max(a, least), min(b, most))
+                        key = hashlib.blake2b(t[p - a : p + length - b] + name[:8], digest_size=8).digest() + hashlib.blake2b(t[start:end] + name, digest_size=16).digest()
+                        if (own := met.get(key)) is None:
+                            met[key] = [1, r, p, a, b, array("q", (r, start, end))]
+                            continue
+                        own[0] += 1
+                        if own[5][-3] == r and start <= own[5][-1]:  # members come in order of place
+                            own[5][-1] = end
+                        else:
+                            own[5].extend((r, start, end))
+        keys, own = list(met), list(met.values())
+        for at in range(0, len(keys), 2000):
+            k = np.frombuffer(b"".join(keys[at : at + 2000]), np.int64).reshape(-1, 3)
+            *cols, spans = zip(*own[at : at + 2000], strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(k[:, c].copy()) for c in range(3)), pa.array(np.full(len(k), f)), *(pa.array(c, pa.int64()) for c in cols), pa.array([x.tobytes() for x in spans], pa.binary())], ["g", "k1", "k2", "f", "n", "row", "pos", "x", "y", "spans"])
+
+    return spool.each(members, split, ", ".join(f"{c} bigint" for c in ("g", "k1", "k2", "f", "n", "row", "pos", "x", "y")) + ", spans binary")
+
+
+def _unpacked(settled: DataFrame) -> DataFrame:
+    """(f, row, a, z) from (f, spans)."""
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            own = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 3)
+            f = np.repeat(batch.column(0).to_numpy(), [len(x) // 24 for x in raw])
+            for at in range(0, len(own), 10_000):
+                k = slice(at, at + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(f[k]), *(pa.array(own[k, c]) for c in range(3))], ["f", "row", "a", "z"])
+
+    return settled.mapInArrow(run, "f bigint, row bigint, a bigint, z bigint")
 
 
 def _divided(members: DataFrame, group: DataFrame, large: int) -> tuple[DataFrame, DataFrame, bool]:
@@ -318,11 +341,11 @@ def removed(spool: Spool, length: int = LENGTH, gram: int = GRAM, large: int = L
     found = saved(spool.each(copies.where("not first").select("f", "row"), find, "g bigint, f bigint, row bigint, pos bigint"), "anchors")
     ranged = lambda df: df.select("g", "f", "row", "pos", F.lit(0).cast("long").alias("x"), F.lit(length - gram).cast("long").alias("y"))
     small, more, any_more = _divided(found, ranged(found), large)
-    settled = []
-    while any_more:  # at most log(length - gram + 1) / log(PARTS) times
-        rows = saved(_split(spool, more.select("f", "row", "pos", "x", "y"), length), "ranges")
-        classes = saved(rows.groupBy("g", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("f", "row", "pos", "x", "y")).alias("m")), "classes")
-        settled.append(rows.join(classes.where("n > 1").select("g", "k1", "k2"), ["g", "k1", "k2"]).select("f", "row", "a", "z"))
+    settled, parts = [], 1  # equal windows as a whole first
+    while any_more:  # at most 1 + log(length - gram + 1) / log(PARTS) times
+        rows, parts = saved(_split(spool, more.select("f", "row", "pos", "x", "y"), length, parts), "ranges"), PARTS
+        classes = saved(rows.groupBy("g", "k1", "k2").agg(F.sum("n").alias("n"), F.min(F.struct("f", "row", "pos", "x", "y")).alias("m")), "classes")
+        settled.append(_unpacked(rows.select("g", "k1", "k2", "f", "spans").join(classes.where("n > 1").select("g", "k1", "k2"), ["g", "k1", "k2"]).select("f", "spans")))
         ones = classes.select("g", "m.*")
         fewer, more, any_more = _divided(ones, ones, large)
         small = small.unionByName(fewer)

@@ -54,7 +54,7 @@ def test_thousands_share_a_passage(spark):
     rng = random.Random(9)
     passage = noise(rng, 130)
     rows = [(i, noise(rng, 12 + i % 5) + passage + noise(rng, 15)) for i in range(3000)] + [(5000 + i, noise(rng, 10) + passage[:99] + noise(rng, 20)) for i in range(20)]
-    held(spark, rows, length=100, gram=32)
+    held(spark, rows, length=100, gram=32, large=500)
 
 
 def test_hashes_that_deceive(monkeypatch):
