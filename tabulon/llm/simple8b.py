@@ -6,10 +6,12 @@ A word's top four bits select how many ranks of which width fill the other sixty
 Blocks start on words, so that any block is decoded alone, and all blocks at once by one gather for each selector.
 
 Null text counts as empty: its row holds the end id alone. Rows with the same document id are kept, in order of their text; null
-document ids come first. An empty table gives no files and no rows."""
+document ids come first; texts of any length are encoded whole. An empty table gives no files and no rows. Other columns are not read."""
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
@@ -25,8 +27,8 @@ from .files import attempt_path, one_task_each, opened
 
 #: (ranks, bits of each) by selector.
 SELECTORS = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
-BLOCK, GROUP_IDS, END_ID = 1024, 1 << 21, 2
-MAX_CHUNKS, PACKED_AT_ONCE = 250_000, BLOCK << 8
+BLOCK, GROUP_IDS, END_ID = 1024, 1 << 19, 2
+MAX_CHUNKS, PACKED_AT_ONCE = 160_000, BLOCK << 8
 _COUNT = np.array([n for n, _ in SELECTORS], np.int64)
 _HEAD = struct.Struct("<4sIQIIQ")
 _NULL = np.iinfo(np.int64).min
@@ -160,9 +162,9 @@ class ChunkIds:
 
     A text is cut before each single space between two characters that are not white space. Byte-level pre-tokenisation starts a new
     piece at every such space, whatever stands around it, so a text's ids are those of its chunks in turn. A chunk of Latin letters and
-    marks is one or two pieces, which go to the tokenizer's model without the rest; others go through all of it. A text is first cut at all spaces, and cut
-    again with care if a chunk turns out to begin or end in white space. When MAX_CHUNKS are remembered, those
-    that were met once since the last time are forgotten."""
+    marks is one or two pieces, which go to the tokenizer's model without the rest where the tokenizer's file allows it; others go through
+    all of it. A text is first cut at all spaces, and cut again with care if a chunk turns out to begin or end in white space. When
+    MAX_CHUNKS are remembered, those that were met once since the last time are forgotten."""
 
     SPLIT = re.compile(r"(?<=\S)\x20(?=\S)")
     WORD = re.compile(r"(\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -170,13 +172,25 @@ class ChunkIds:
     def __init__(self, path: str, end_id: int | None):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of their own would hold memory
         self.tok, self.end_id = Tokenizer.from_file(path), end_id
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the bytes that byte-level vocabularies write as themselves
         rest = [b for b in range(256) if b not in shown]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.model, self.marks = self.tok.model, {}
+        self.plain = self._plain()
         self.reset()
 
+    def _plain(self) -> bool:
+        """Whether words may go to the model alone: no normaliser, a byte-level pre-tokenizer that adds no space, no added token with a space or
+        of letters, and the same ids either way for words of each kind."""
+        spec = json.loads(self.tok.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or any(" " in t["content"] or self.WORD.match(t["content"]) for t in spec.get("added_tokens", [])):
+            return False
+        tried = ("word", " word", " Ünïcödé", "ſtraße" if self.WORD.match("ſtraße") else "straße", " a", "I")
+        return all([t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))] == self.tok.encode(w, add_special_tokens=False).ids for w in tried)
+
     def reset(self) -> None:
         self.n, self.todo = 0, []
         self.flat, self.ends, self.uses, self.odd = array("I"), array("q", [0]), np.zeros(0, np.int64), bytearray()
@@ -205,7 +219,7 @@ class ChunkIds:
         word, model, known, flat, ends = self.WORD.match, self.model.tokenize, self.later, self.flat, self.ends
         found, other = [], []
         for i, c in enumerate(self.todo):
-            m = word(c)
+            m = word(c) if self.plain else None
             core, marks = m.groups() if m else (None, None)
             if core is None:
                 other.append(i)

@@ -34,7 +34,7 @@ from .common import grouped, saved, table
 from .spool import Spool
 
 LENGTH, GRAM = 400, 128
-PAIRED, LARGE, PARTS, BATCH_ROWS = 64, 1 << 14, 8, 1000
+PAIRED, LARGE, PARTS, BATCH_ROWS = 64, 1 << 14, 3, 1000
 _RNG = np.random.default_rng(7_400)
 _BYTE = _RNG.integers(1, 1 << 64, 256, dtype=np.uint64)
 _BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 1
