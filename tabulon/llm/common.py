@@ -12,7 +12,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: rows of whole texts are too long for a limit by their number.
+BATCH_BYTES = 8 << 20
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
+    now = int(spark.conf.get(_BYTES_SETTING, str(1 << 62)).rstrip("bB"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +45,7 @@ def _own_folder() -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
+    bounded_batches(spark)
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 

@@ -48,7 +48,7 @@ class _Buckets(dict):
         self.n = n
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = k = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % self.n
         return k
