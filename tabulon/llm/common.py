@@ -19,8 +19,7 @@ _BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's limit of bytes in an Arrow batch to BATCH_BYTES; a lower one stays."""
-    now = int(spark.conf.get(_BYTES_SETTING, str(1 << 62)).rstrip("bB"))
-    if not 0 < now <= BATCH_BYTES:
+    if int(spark.conf.get(_BYTES_SETTING).rstrip("bB")) > BATCH_BYTES:
         spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
 
 
