@@ -11,6 +11,7 @@ The memory of chunks is bounded for each Python worker and cleared when full; cl
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import slices, table, texts
 
 WINDOW, MASK = 32, (1 << 8) - 1
-MAX_WORDS, MAX_CHUNK_CHARS = 300_000, 12 << 20
+MAX_WORDS, MAX_CHUNK_CHARS = 150_000, 8 << 20
 _GEAR = np.random.default_rng(20_240_229).integers(1, 1 << 32, 256, dtype=np.uint32)
 _GEAR[0] = 0
 
@@ -54,6 +55,7 @@ class Reuse:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of their own would hold memory
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
