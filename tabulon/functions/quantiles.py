@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .values import col, present
+from .values import col, to_number
 
 #: Up to so many values are left to one aggregate; more are narrowed down by histograms of BINS counts. Either way gives the same values.
 ONE_TASK, BINS = 2_000_000, 1024
@@ -18,7 +18,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: tuple[float, ...] = (0.25,
     if not cols:
         return {}
     keys = [col(by)] if by else []
-    x = {c: present(df, c).cast("double") for c in cols}
+    x = {c: to_number(df, c) for c in cols}
     sizes = df.groupBy(*keys).agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(x.values())]).collect()  # a row a group
     k = len(keys)
     if sum(n for r in sizes for n in r[k:]) <= one_task * len(cols):

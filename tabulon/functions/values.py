@@ -44,9 +44,9 @@ def tokens(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"(?U)\S+"))
 
 
-def to_number(df: DataFrame, name: str, commas: bool = True) -> Column:
-    """The column as double: numbers as they are, text where it reads as one, else null."""
-    if kind(df, name) == "number":
+def to_number(df: DataFrame, name: str, commas: bool = False) -> Column:
+    """The column as double: numbers and truth values as they are, text where it reads as one, else null. With ``commas``, 1,234 does too."""
+    if kind(df, name) in ("number", "boolean"):
         return present(df, name).cast("double")
     s = strip(col(name).cast("string"))
     s = F.replace(s, F.lit(","), F.lit("")) if commas else s
@@ -65,10 +65,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def bool_or_false(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
 def with_index(df: DataFrame) -> DataFrame:
     """``original_index`` as first column, contiguous from 0, unless there already. Partitions are counted, and a row's number is its
     partition's start plus its place there. A plan with a shuffle may be cut anew for each job, so there the rows are numbered in one run."""

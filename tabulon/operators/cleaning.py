@@ -28,10 +28,8 @@ class Plan:
 
 
 def recommend(p: Profile) -> Plan:
-    numeric, categorical = p.of("numeric"), p.of("categorical")
-    odd = any(c.outliers for c in numeric)
-    share = sum(c.missing for c in numeric + categorical + p.of("text")) / max(1, p.rows * p.columns)
-    gone = sum(c.missing for c in categorical)
+    categorical, odd, gone = p.of("categorical"), any(c.outliers for c in p.by_column), p.missing_cells
+    share = gone / max(1, p.rows * max(1, p.columns))
     return Plan(
         missing_numeric="drop_rows" if 0 < share <= 0.01 else "median" if odd else "mean", missing_categorical="mode" if gone <= max(1, 0.01 * p.rows) else "unknown", missing_text="empty",
         duplicates="drop", outliers="cap_iqr" if odd else "keep", encoding="ordinal" if any(c.unique > 100 for c in categorical) else "onehot", scaling="robust" if odd else "standard", text="use" if p.of("text") else "ignore", drop_constant=True,
@@ -54,7 +52,7 @@ def groups(df: DataFrame) -> dict[str, list[str]]:
 def fill_values(df: DataFrame, how: dict[str, str]) -> dict[str, object]:
     """Values that fill missing cells: mean, median, zero, mode, unknown or empty for each column named."""
     of = lambda h: [c for c in how if how[c] == h]
-    found = dict(zip(of("mean"), df.agg(*[F.avg(present(df, c)) for c in of("mean")]).first(), strict=True)) if of("mean") else {}
+    found = dict(zip(of("mean"), df.agg(*[F.avg(to_number(df, c)) for c in of("mean")]).first(), strict=True)) if of("mean") else {}
     if of("median"):
         found |= {c: q and q[0] for c, q in quantiles(df, of("median"), (0.5,))[()].items()}
     found |= {c: top_typed(df, c) for c in of("mode")}
@@ -62,12 +60,13 @@ def fill_values(df: DataFrame, how: dict[str, str]) -> dict[str, object]:
 
 
 def filled(df: DataFrame, values: dict[str, object]) -> DataFrame:
-    """Numbers become doubles where a fraction is filled in."""
-    return df.withColumns({c: F.coalesce(present(df, c), F.lit(v)) for c, v in values.items() if v is not None})
+    """Numbers become doubles where a fraction is filled in; text stays text, numbers filled into it included."""
+    as_text = lambda c, v: kind(df, c) == "text" and not isinstance(v, str)
+    return df.withColumns({c: F.coalesce(present(df, c), F.lit(str(v) if as_text(c, v) else v)) for c, v in values.items() if v is not None})
 
 
 def z_limits(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
-    row = df.agg(*[F.struct(F.avg(x := present(df, c).cast("double")), F.stddev_samp(x)) for c in cols]).first() if cols else ()
+    row = df.agg(*[F.struct(F.avg(x := to_number(df, c)), F.stddev_samp(x)) for c in cols]).first() if cols else ()
     return {c: tuple(r) for c, r in zip(cols, row, strict=True)}
 
 
@@ -101,17 +100,23 @@ class Cleaned:
     report: dict
 
 
+def capped(df: DataFrame, name: str, low: float, high: float) -> DataFrame:
+    x = to_number(df, name)
+    return df.withColumn(name, F.when(x < low, low).when(x > high, high).otherwise(x))
+
+
 def apply_plan(df: DataFrame, plan: Plan) -> Cleaned:
     """Duplicates, fills, outliers, constant columns, then the rows marked go: all in one projection over one pass of marks. Statistics
-    include rows that are marked, as deleting comes last. Removed rows keep their original values and say why."""
+    include rows that are marked, as deleting comes last, so they are computed without the join that finds repeats. Removed rows keep their
+    original values and say why and in which columns."""
     df = with_index(df)
     actions: list[dict] = []
     original = df.columns
     work = mark_repeats(df, "_dup") if plan.duplicates == "drop" else df.withColumn("_dup", F.lit(False))
-    work = work.withColumn("_was", F.struct(*[col(c) for c in original])).withColumn("_why", F.array().cast("array<string>"))
+    work = work.withColumn("_was", F.struct(*[col(c) for c in original])).withColumn("_why", F.array().cast("array<struct<reason:string,column:string>>"))
 
-    def mark(now: DataFrame, when: Column, reason: str) -> DataFrame:
-        return now.withColumn("_why", F.when(when, F.array_append("_why", F.lit(reason))).otherwise(F.col("_why")))
+    def mark(now: DataFrame, when: Column, reason: str, column: str = "") -> DataFrame:
+        return now.withColumn("_why", F.when(when, F.array_append("_why", F.struct(F.lit(reason).alias("reason"), F.lit(column).alias("column")))).otherwise(F.col("_why")))
 
     if plan.duplicates == "drop":
         work = mark(work, F.col("_dup"), "duplicate_row")
@@ -121,39 +126,44 @@ def apply_plan(df: DataFrame, plan: Plan) -> Cleaned:
     how = {"numeric": plan.missing_numeric, "categorical": plan.missing_categorical, "text": plan.missing_text}
     lost = [c for t, h in how.items() if h == "drop_rows" for c in g[t]]
     for c in lost:
-        work = mark(work, is_missing(df, c), "missing_value")
+        work = mark(work, is_missing(df, c), "missing_value", c)
     if lost:
         actions.append({"action": "drop_row", "reason": "missing_value", "columns": lost})
     values = fill_values(df, {c: h for t, h in how.items() if h not in ("drop_rows", "keep") for c in g[t]})
-    work = filled(work, values)
+    work, plain = filled(work, values), filled(df, values)  # plain: the same cells without the marks
     actions += [{"action": "fill", "column": c, "value": v} for c, v in values.items()]
     if plan.outliers.endswith("iqr"):
-        limits = fences(work, g["numeric"])  # of the filled columns
+        limits = fences(plain, g["numeric"])  # of the filled columns
         for c, (low, high) in limits.items():
             if plan.outliers == "cap_iqr":
-                x = present(work, c).cast("double")
-                work = work.withColumn(c, F.when(x < low, low).when(x > high, high).otherwise(x))
+                work, plain = capped(work, c, low, high), capped(plain, c, low, high)
             else:
-                work = mark(work, outside(work, c, (low, high)), "outlier_iqr")
+                work = mark(work, outside(work, c, (low, high)), "outlier_iqr", c)
         actions.append({"action": plan.outliers, "limits": limits})
     if plan.outliers == "drop_zscore":
-        for c, (m, s) in z_limits(work, g["numeric"]).items():
-            work = mark(work, z_outside(work, c, m, s), "outlier_zscore")
+        for c, (m, s) in z_limits(plain, g["numeric"]).items():
+            work = mark(work, z_outside(work, c, m, s), "outlier_zscore", c)
         actions.append({"action": "drop_zscore"})
     gone = set(g["categorical"] if plan.encoding == "drop" else ()) | set(g["text"] if plan.text == "drop" else ())
     if plan.drop_constant:
         cols = names(df)
-        gone |= {c for c, u in zip(cols, work.agg(*[F.count_distinct(present(work, c)) for c in cols]).first(), strict=True) if u <= 1}
+        gone |= {c for c, u in zip(cols, plain.agg(*[F.count_distinct(present(plain, c)) for c in cols]).first(), strict=True) if u <= 1}
     work = work.drop(*gone)
-    why = F.array_join(F.array_sort(F.array_distinct("_why")), "; ")
-    removed = work.where(F.size("_why") > 0).select("_was", why.alias("reason"), F.lit("drop_row").alias("action")).select(f"_was.{INDEX}", "reason", "action", *[col("_was").getField(c).alias(c) for c in original if c != INDEX])
+    joined = lambda xs: F.array_join(F.array_sort(F.array_distinct(xs)), "; ")
+    where = joined(F.filter(F.col("_why")["column"], lambda x: x != "")).alias("affected_column")
+    removed = work.where(F.size("_why") > 0).select("_was", joined(F.col("_why")["reason"]).alias("reason"), F.lit("drop_row").alias("action"), where).select(f"_was.{INDEX}", "reason", "action", "affected_column", *[col("_was").getField(c).alias(c) for c in original if c != INDEX])
     table = work.where(F.size("_why") == 0).drop("_was", "_why")
-    report = {"created_at": datetime.now().isoformat(timespec="seconds"), "dropped_columns": sorted(gone), "actions": actions, "plan": plan.__dict__}
+    before, after = work.agg(F.count("*"), F.count_if(F.size("_why") == 0)).first()
+    report = {"created_at": datetime.now().isoformat(timespec="seconds"), "initial_rows": before, "final_rows": after, "removed_row_count": before - after, "dropped_columns": sorted(gone), "actions": actions, "plan": plan.__dict__}
     return Cleaned(table, removed, report)
 
 
-MISSING_ALIASES = {"average": "mean", "avg": "mean", "most_frequent": "mode", "drop": "drop_rows", "0": "zero", "": "empty"}
-ALLOWED = {"numeric": {"mean", "median", "zero", "drop_rows"}, "categorical": {"mode", "unknown", "drop_rows"}, "text": {"empty", "unknown", "drop_rows"}, "unknown": {"drop_rows"}}
+# Other names of strategies, with blanks as underscores.
+MISSING_ALIASES = {
+    "average": "mean", "avg": "mean", "most_frequent": "mode", "drop": "drop_rows", "0": "zero", "": "empty", "zero_fill": "zero", "unknown_fill": "unknown", "unknown_token": "unknown",
+    "empty_string": "empty", "empty_string_fill": "empty",
+}
+ALLOWED = {"numeric": {"mean", "median", "zero", "drop_rows"}, "categorical": {"mode", "unknown", "drop_rows"}, "text": {"empty", "unknown", "drop_rows"}, "unknown": {"unknown", "drop_rows"}}
 DEFAULTS = {"numeric": ("mean", "drop_rows"), "categorical": ("mode", "unknown"), "text": ("empty", "unknown"), "unknown": ("drop_rows", "drop_rows")}
 
 
@@ -168,7 +178,8 @@ class MissingConfig:
 
 def missing_strategy(type_: str, asked: str | None, all_null: bool) -> str:
     first, fallback = DEFAULTS[type_]
-    s = MISSING_ALIASES.get((asked or first).lower(), (asked or first).lower())
+    s = (asked or first).strip().lower().replace(" ", "_")
+    s = MISSING_ALIASES.get(s, s)
     if s not in ALLOWED[type_]:
         s = fallback if fallback in ALLOWED[type_] else "drop_rows"
     return fallback if all_null and s in ("mean", "median", "mode") else s
@@ -209,7 +220,8 @@ def handle_missing(df: DataFrame, types: dict[str, str], config: MissingConfig =
     return df, report, state
 
 
-OUTLIER_ALIASES = {"winsorize": "cap", "clip": "cap", "remove": "drop", "drop_rows": "drop", "flag": "group", "keep": "ignore", "none": "ignore"}
+# Fixed values, as above.
+OUTLIER_ALIASES = {"winsorize": "cap", "winsorization": "cap", "clip": "cap", "remove": "drop", "drop_rows": "drop", "flag": "group", "outlier_group": "group", "keep": "ignore", "none": "ignore", "skip": "ignore"}
 
 
 @dataclass(frozen=True)
@@ -225,22 +237,49 @@ class OutlierConfig:
 
 
 def outlier_report(df: DataFrame, cols: list[str], config: OutlierConfig = OutlierConfig()) -> list[dict]:
-    """Limits, counts and strategy of each numeric column; here equal quartiles are judged too."""
-    limits = fences(df, cols, config.k, skip_flat=False, at_least=config.at_least)
-    if not limits:
+    """Quartiles, limits, counts and strategy of each column that is read as numbers; here equal quartiles are judged too. Columns with fewer
+    than ``at_least`` numbers are skipped and say so."""
+    if not cols:
         return []
-    row = df.agg(F.count("*"), *[F.count_if(outside(df, c, x)) for c, x in limits.items()], *[F.count(present(df, c)) for c in limits]).first()
+    found = quantiles(df, cols, (0.25, 0.75))[()]
+    limits = {c: (q[0] - config.k * (q[1] - q[0]), q[1] + config.k * (q[1] - q[0])) if (q := found[c]) else None for c in cols}
+    row = df.agg(F.count("*"), *[F.count_if(outside(df, c, limits[c])) for c in cols], *[F.count(to_number(df, c)) for c in cols]).first()
     out = []
-    for i, (c, (low, high)) in enumerate(limits.items()):
-        s = config.overrides.get(c, config.strategy).lower()
+    for i, c in enumerate(cols):
+        s = config.overrides.get(c, config.strategy).strip().lower().replace(" ", "_")
         s = OUTLIER_ALIASES.get(s, s)
-        n, there = row[1 + i], row[1 + len(limits) + i]
-        out.append({"column": c, "low": low, "high": high, "outliers": n, "ratio": n / row[0] if row[0] else 0.0, "ratio_present": n / there if there else 0.0, "strategy": s if s in ("cap", "drop", "group", "ignore") else "ignore"})
+        n, there = row[1 + i], row[1 + len(cols) + i]
+        if there < config.at_least:
+            out.append({"column": c, "low": None, "high": None, "q1": None, "q3": None, "iqr": None, "present": there, "outliers": 0, "ratio": 0.0, "ratio_present": 0.0, "strategy": "ignore", "status": "skipped"})
+            continue
+        (q1, q3), (low, high) = found[c], limits[c]
+        s = s if s in ("cap", "drop", "group", "ignore") else "ignore"
+        out.append({"column": c, "low": low, "high": high, "q1": q1, "q3": q3, "iqr": q3 - q1, "present": there, "outliers": n, "ratio": n / row[0] if row[0] else 0.0, "ratio_present": n / there if there else 0.0, "strategy": s, "status": "pending" if n else "no_outliers"})
+    return out
+
+
+def outlier_totals(df: DataFrame, report: list[dict]) -> dict[str, int]:
+    """Outlying cells, and rows with one or more of them."""
+    return {"outliers": sum(r["outliers"] for r in report), "affected_rows": df.agg(F.count_if(affected(df, report))).first()[0]}
+
+
+def outlier_sample(df: DataFrame, record: dict, n: int = 5) -> DataFrame:
+    """The first ``n`` outlying rows of a record's column, by the index where there is one."""
+    rows = df.where(affected(df, [record]))
+    return (rows.orderBy(INDEX) if INDEX in df.columns else rows).limit(n)
+
+
+def by_strategy(report: list[dict]) -> dict[str, dict[str, list[str]]]:
+    """{type: {strategy: columns in order of name}} of a report; outliers are all of type numeric. Columns without anything to do are left out."""
+    out: dict[str, dict[str, list[str]]] = {}
+    for r in sorted(report, key=lambda r: r["column"]):
+        if r.get("missing") or r.get("outliers"):
+            out.setdefault(r.get("type", "numeric"), {}).setdefault(r["strategy"], []).append(r["column"])
     return out
 
 
 def affected(df: DataFrame, report: list[dict]) -> Column:
-    marks = [F.when(outside(df, r["column"], (r["low"], r["high"])), True) for r in report]
+    marks = [F.when(outside(df, r["column"], (r["low"], r["high"])), True) for r in report if r["low"] is not None]
     return F.coalesce(*marks, F.lit(False)) if marks else F.lit(False)
 
 
@@ -258,6 +297,5 @@ def handle_outliers(df: DataFrame, cols: list[str], config: OutlierConfig = Outl
             name, k = f"{config.flag}__{k}", k + 1
         out = out.withColumn(name, affected(df, by("group")))
     for r in by("cap"):
-        x = to_number(df, r["column"])
-        out = out.withColumn(r["column"], F.when(x < r["low"], r["low"]).when(x > r["high"], r["high"]).otherwise(x))
+        out = capped(out, r["column"], r["low"], r["high"])
     return (out.where(~affected(out, by("drop"))) if by("drop") else out), report, state

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
-from ..functions.values import INDEX, col, is_missing, kind, present, tokens
+from ..functions.values import INDEX, col, is_missing, kind, present, to_number, tokens
 
 FENCE, Z_LIMIT, NEAR_CONSTANT = 1.5, 3.0, 0.98
+# The names that make a column metadata.
 ID_NAMES = ("id", "customerid", "customer_id", "user_id", "client_id", "invoice", "order_id")
 TIME_WORDS = ("date", "time", "datetime", "timestamp")
 
@@ -87,7 +88,7 @@ def numeric_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, n, mean, median, std, min, q1, q3, max), missing values left out."""
     found, parts = quantiles(df, cols)[()], []
     for c in cols:
-        x, q = present(df, c).cast("double"), found[c] or [None] * 3
+        x, q = to_number(df, c), found[c] or [None] * 3
         at = lambda i, name: F.lit(q[i]).cast("double").alias(name)  # noqa: E731, B023
         parts.append(F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), at(1, "median"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), at(0, "q1"), at(2, "q3"), F.max(x).alias("max")))
     return df.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
@@ -97,7 +98,7 @@ def fences(df: DataFrame, cols: list[str], k: float = FENCE, skip_flat: bool = T
     """Outer limits of columns with ``at_least`` values; ``skip_flat`` leaves out those whose quartiles agree."""
     if not cols:
         return {}
-    n = df.agg(*[F.count(present(df, c)) for c in cols]).first()
+    n = df.agg(*[F.count(to_number(df, c)) for c in cols]).first()
     found = quantiles(df, cols, (0.25, 0.75))[()]
     return {c: (q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) for c, m in zip(cols, n, strict=True) if m >= at_least and (q := found[c]) and (q[1] > q[0] or not skip_flat)}
 
@@ -106,14 +107,14 @@ def outside(df: DataFrame, name: str, limits: tuple[float, float] | None) -> Col
     """Strictly outside the limits; false for missing values and for columns without limits."""
     if limits is None:
         return F.lit(False)
-    x = present(df, name).cast("double")
+    x = to_number(df, name)
     return F.coalesce((x < limits[0]) | (x > limits[1]), F.lit(False))
 
 
 def z_outside(df: DataFrame, name: str, mean: float | None, std: float | None, limit: float = Z_LIMIT) -> Column:
     if not std:
         return F.lit(False)
-    return F.coalesce(F.abs((present(df, name).cast("double") - mean) / std) > limit, F.lit(False))
+    return F.coalesce(F.abs((to_number(df, name) - mean) / std) > limit, F.lit(False))
 
 
 def duplicate_count(df: DataFrame) -> int:
@@ -140,7 +141,7 @@ def simple_type(physical: str, non_null: int, unique: int, avg_length: float, av
 
 def column_role(name: str, type_: str, non_null: int, unique: int) -> tuple[str, bool, str]:
     """(role, suspicious, reason); the first rule that holds."""
-    n = name.strip().lower().replace(" ", "_")
+    n = name.strip().lower().replace(" ", "_").replace("-", "_")
     if n == INDEX:
         return "metadata", False, "row index"
     if n in ID_NAMES or n.endswith("_id"):

@@ -85,7 +85,7 @@ def near_constant(spark, sf_dir):
 @query("SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount FROM lineitem)))::BIGINT AS n_duplicates FROM lineitem")
 def duplicate_rows(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount")
-    return df.groupBy(*df.columns).count().agg(F.sum(F.col("count") - 1).alias("n_duplicates"))
+    return spark.createDataFrame([(profile.duplicate_count(df),)], "n_duplicates bigint")
 
 
 @query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) = 1")
@@ -161,6 +161,30 @@ def outlier_report(spark, sf_dir):
     return rounded(spark.createDataFrame([(r["column"], r["low"], r["high"], r["outliers"], r["ratio"]) for r in found], "`column` string, low double, high double, outliers bigint, ratio double"), "low", "high", "ratio")
 
 
+def text_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with values as text, of which every fifth does not read as a number and every seventh is missing."""
+    e, at = table(spark, sf_dir, "events"), F.col("event_id")
+    return e.select("event_id", F.when(at % 7 != 0, F.when(at % 5 == 0, "n/a").otherwise(F.concat(F.lit(" "), F.col("value").cast("string")))).alias("value"))
+
+
+TEXT_EVENTS = "(SELECT event_id, value, event_id % 7 = 0 AS gone, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN value END AS v FROM events)"
+TEXT_BOUNDS = f"(SELECT quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM {TEXT_EVENTS})"
+
+
+@query(f"SELECT 'value' AS \"column\", round(q1, 5) AS q1, round(q3, 5) AS q3, round(low, 5) AS low, round(high, 5) AS high, count(v)::BIGINT AS present, count_if(v < low OR v > high)::BIGINT AS outliers, count_if(v < low OR v > high)::BIGINT AS affected_rows FROM {TEXT_EVENTS}, {TEXT_BOUNDS} GROUP BY q1, q3, low, high")
+def outlier_report_text(spark, sf_dir):
+    df = text_events(spark, sf_dir)
+    found = cleaning.outlier_report(df, ["value"])
+    rows = [(r["column"], r["q1"], r["q3"], r["low"], r["high"], r["present"], r["outliers"], cleaning.outlier_totals(df, [r])["affected_rows"]) for r in found]
+    return rounded(spark.createDataFrame(rows, "`column` string, q1 double, q3 double, low double, high double, present bigint, outliers bigint, affected_rows bigint"), "q1", "q3", "low", "high")
+
+
+@query(f"SELECT event_id, v AS value FROM {TEXT_EVENTS}, {TEXT_BOUNDS} WHERE v < low OR v > high ORDER BY event_id LIMIT 5")
+def outlier_sample(spark, sf_dir):
+    df = text_events(spark, sf_dir).withColumnRenamed("event_id", INDEX)
+    return cleaning.outlier_sample(df, cleaning.outlier_report(df, ["value"])[0]).select(F.col(INDEX).alias("event_id"), F.trim("value").cast("double").alias("value"))
+
+
 @query(f"SELECT event_id, value < low OR value > high AS outlier_flag FROM events, {BOUNDS}")
 def outlier_flag(spark, sf_dir):
     return cleaning.handle_outliers(table(spark, sf_dir, "events"), ["value"], cleaning.OutlierConfig("group"))[0].select("event_id", "outlier_flag")
@@ -200,6 +224,14 @@ _impute("impute_zero", "value", "zero", "0")
 _impute("impute_mode", "event_type", "mode", MODE.format(GAPPY))
 _impute("impute_unknown", "event_type", "unknown", "'unknown'")
 _impute("impute_empty", "event_type", "empty", "''")
+
+
+@query(f"SELECT event_id, CASE WHEN gone THEN round((SELECT avg(v) FROM {TEXT_EVENTS}), 5) ELSE v END AS value FROM {TEXT_EVENTS}")
+def impute_mean_text(spark, sf_dir):
+    out = cleaning.handle_missing(text_events(spark, sf_dir), {"value": "numeric"})[0]
+    return out.select("event_id", F.when(out["value"] != "n/a", F.round(F.trim("value").cast("double"), 5)).alias("value"))
+
+
 _TYPES = {"value": "numeric", "event_type": "categorical"}
 
 
@@ -245,6 +277,22 @@ def removed_rows_audit(spark, sf_dir):
     return cleaning.apply_plan(repeated_events(spark, sf_dir), _PLAN).removed.select(INDEX, "reason", "action", "event_type", "value", "region")
 
 
+_REASONS = cleaning.Plan(missing_numeric="drop_rows", outliers="drop_iqr")
+
+
+@query(f"""WITH r AS {REPEATED}, b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM r),
+m AS (SELECT r.*, row_number() OVER (PARTITION BY event_type, value ORDER BY {INDEX}) > 1 AS dup, value IS NULL AS gone, coalesce(value < low OR value > high, FALSE) AS odd FROM r, b)
+SELECT {INDEX}, concat_ws('; ', CASE WHEN dup THEN 'duplicate_row' END, CASE WHEN gone THEN 'missing_value' END, CASE WHEN odd THEN 'outlier_iqr' END) AS reason, CASE WHEN gone OR odd THEN 'value' ELSE '' END AS affected_column FROM m WHERE dup OR gone OR odd""")
+def affected_columns(spark, sf_dir):
+    return cleaning.apply_plan(repeated_events(spark, sf_dir), _REASONS).removed.select(INDEX, "reason", "affected_column")
+
+
+@query(f"""{_MARKED} SELECT count(*)::BIGINT AS initial_rows, count_if(NOT dup AND NOT odd)::BIGINT AS final_rows, count_if(dup OR odd)::BIGINT AS removed_row_count FROM m""")
+def cleaning_report(spark, sf_dir):
+    report = cleaning.apply_plan(repeated_events(spark, sf_dir), _PLAN).report
+    return spark.createDataFrame([tuple(report[k] for k in ("initial_rows", "final_rows", "removed_row_count"))], "initial_rows bigint, final_rows bigint, removed_row_count bigint")
+
+
 @query(f"""WITH r AS {REPEATED}, b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM r),
 m AS (SELECT *, row_number() OVER (PARTITION BY event_type, value ORDER BY {INDEX}) > 1 AS dup, coalesce(value < low OR value > high, FALSE) AS odd FROM r, b)
 SELECT count(*)::BIGINT AS rows, count_if(dup)::BIGINT AS duplicates, count_if(value IS NULL)::BIGINT AS filled, count_if(odd)::BIGINT AS outliers, count_if(dup OR odd)::BIGINT AS removed FROM m""")
@@ -361,7 +409,7 @@ def silhouette(spark, sf_dir):
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    tried = clustering.sweep(table(spark, sf_dir, "embeddings"), "embedding", 2, 4, restarts=1)
+    tried = clustering.sweep(table(spark, sf_dir, "embeddings"), "embedding")
     best = clustering.best_k(tried)
     return spark.createDataFrame([(t.k, t.inertia, t.silhouette, t.k == best) for t in tried], "k bigint, inertia double, silhouette double, best boolean")
 
@@ -369,7 +417,7 @@ def kmeans_sweep(spark, sf_dir):
 @query()
 def cluster_labels(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
-    return clustering.labelled(df, clustering.fit_kmeans(df, 4, "embedding", restarts=2), "embedding").select("vec_id", "cluster_label")
+    return clustering.labelled(df, clustering.fit_kmeans(df, 4, "embedding"), "embedding").select("vec_id", "cluster_label")
 
 
 @query("SELECT * FROM (VALUES (1, 1), (2, 1), (3, 1), (4, 2), (8, 4), (10, 5), (16, 8), (20, 9), (64, 16), (100, 20), (400, 40), (1000, 63)) t(d, latent)")
@@ -380,7 +428,7 @@ def latent_sizes(spark, sf_dir):
 @query()
 def autoencoder_latent(spark, sf_dir):
     df = table(spark, sf_dir, "embeddings")
-    return latent.train(df, "embedding", epochs=5).encode(df, "embedding").select("vec_id", F.transform("latent", lambda x: F.round(x, 6)).alias("latent"))
+    return latent.train(df, "embedding").encode(df, "embedding").select("vec_id", F.transform("latent", lambda x: F.round(x, 6)).alias("latent"))
 
 
 @query()
@@ -390,7 +438,7 @@ def principal_components(spark, sf_dir):
 
 @query()
 def tsne_chart(spark, sf_dir):
-    return latent.tsne_chart(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", sample=300)
+    return latent.tsne_chart(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
 
 
 # Cluster profiles

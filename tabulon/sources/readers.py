@@ -5,18 +5,25 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import uuid
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import col, is_missing, with_index
+from ..functions.values import INDEX, NUMBER, col, is_missing, with_index
 
 HEAD = 64 << 10
 ALIASES = {"csv": "csv", "txt": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "xlsx": "excel", "excel": "excel", "parquet": "parquet"}
 SEPARATORS = (",", ";", "\t", "|")
+ORIENTS = ("records", "columns", "index", "split", "values")
+#: What windows-1252 has where ISO-8859-1 has control characters; five bytes stand for nothing there.
+_CP1252 = {chr(b): x for b in range(0x80, 0xA0) if (x := bytes([b]).decode("cp1252", "ignore"))}
+#: Number formats of workbooks that are dates or times without a code of their own.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 
 
 @dataclass(frozen=True)
@@ -26,6 +33,8 @@ class Options:
     encoding: str | None = None
     quote: str = '"'
     escape: str = '"'
+    multiline: bool | None = None  # None: where the first bytes hold a quote; such a file is one task
+    orient: str | None = None  # of JSON; None: records, or columns where one object holds them
     sheet: str | int | None = None
     rows: int | None = None
     drop_empty_rows: bool = False
@@ -102,30 +111,65 @@ def _csv(spark: SparkSession, path: str, o: Options, head: bytes) -> DataFrame:
     enc = o.encoding or encoding_of(head)
     text = head.decode(enc, "replace").removeprefix("﻿")
     sep = o.separator or separator_of(text)
-    if enc in ("windows-1252", "cp1252"):
+    windows = enc.lower() in ("windows-1252", "cp1252")
+    if windows:
         enc = "ISO-8859-1"  # of the encodings Spark's reader takes, the one that reads each byte
     import csv
 
     header = next(csv.reader(io.StringIO(text), delimiter=sep, quotechar=o.quote), [])
-    raw = spark.read.csv(path, sep=sep, encoding=enc, quote=o.quote, escape=o.escape, header=True, inferSchema=True, multiLine=o.quote in text)
+    raw = spark.read.csv(path, sep=sep, encoding=enc, quote=o.quote, escape=o.escape, header=True, inferSchema=True, multiLine=o.quote in text if o.multiline is None else o.multiline)
+    if windows:
+        before, after = "".join(_CP1252), "".join(_CP1252.values())
+        raw = raw.select(*[(F.translate(col(f.name), before, after) if isinstance(f.dataType, T.StringType) else col(f.name)).alias(f.name) for f in raw.schema])
     return raw.toDF(*tidy_names(header if len(header) == len(raw.columns) else raw.columns))
 
 
-def _json(spark: SparkSession, path: str, head: bytes) -> DataFrame:
+def _oriented(spark: SparkSession, path: str, orient: str) -> DataFrame:
+    """One JSON document that is not a list of records: its cells are (row, column, value) first. Columns of numbers become longs or doubles."""
+    doc = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"))
+    if orient in ("columns", "index"):
+        outer = doc.select(F.posexplode(F.from_json("doc", "map<string,map<string,string>>")).alias("i", "outer", "m"))
+        cells = outer.select("i", "outer", F.posexplode("m").alias("j", "inner", "value"))
+        c, r, name, row = ("i", "j", "outer", "inner") if orient == "columns" else ("j", "i", "inner", "outer")
+        cells = cells.select(F.col(c).alias("c"), F.col(name).alias("name"), F.col(r).alias("r"), F.col(row).alias("row"), "value")
+    else:
+        at = F.from_json("doc", "columns array<string>, data array<array<string>>") if orient == "split" else F.struct(F.lit(None).cast("array<string>").alias("columns"), F.from_json("doc", "array<array<string>>").alias("data"))
+        rows = doc.select(at.alias("x")).select("x.columns", F.posexplode("x.data").alias("r", "cells")).select("columns", "r", F.posexplode("cells").alias("c", "value"))
+        cells = rows.select("c", F.coalesce(F.get("columns", "c"), F.col("c").cast("string")).alias("name"), "r", F.col("r").cast("string").alias("row"), "value")
+    number = F.col("value").rlike(NUMBER)
+    heads = cells.groupBy("name").agg(F.min("c").alias("c"), F.bool_and(number).alias("number"), F.bool_and(F.col("value").rlike(r"^[+-]?\d{1,18}$")).alias("whole")).orderBy("c", "name").collect()  # a row a column
+    if not heads:
+        raise ValueError(f"{path}: no {orient} in it")
+    wide = cells.groupBy("row").pivot("name", [h["name"] for h in heads]).agg(F.first("value"))
+    wide = wide.join(cells.groupBy("row").agg(F.min("r").alias("r")).withColumnRenamed("row", "_row"), F.col("row") == F.col("_row")).orderBy("r")
+    return wide.select(*[col(h["name"]).cast("long" if h["whole"] else "double" if h["number"] else "string").alias(h["name"]) for h in heads])
+
+
+def _json(spark: SparkSession, path: str, head: bytes, orient: str | None = None) -> DataFrame:
+    if orient not in (None, *ORIENTS):
+        raise ValueError(f"unknown orient: {orient}")
+    if orient not in (None, "records"):
+        df = _oriented(spark, path, orient)
+        return df.toDF(*tidy_names(df.columns))
     whole = head.lstrip()[:1] == b"["
     df = spark.read.json(path, multiLine=whole)
     if not whole and df.columns == ["_corrupt_record"]:
         df = spark.read.json(path, multiLine=True)
+    if orient is None and head.lstrip()[:1] == b"{" and all(isinstance(f.dataType, T.StructType) and f.dataType.names[:1] == ["0"] for f in df.schema) and len(df.take(2)) == 1:
+        df = _oriented(spark, path, "columns")
     return df.toDF(*tidy_names(df.columns))
 
 
 def sheets(data: bytes) -> dict[str, list[list]]:
-    """Cells of every sheet of an .xlsx workbook: numbers, texts and truth values."""
+    """Cells of every sheet of an .xlsx workbook: numbers, texts, truth values, and times where a cell's style is one of them."""
     space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         root = lambda name: ElementTree.fromstring(z.read(name))
         shared = ["".join(t.text or "" for t in si.iter(f"{{{space['m']}}}t")) for si in root("xl/sharedStrings.xml").findall("m:si", space)] if "xl/sharedStrings.xml" in z.namelist() else []
         target = {r.get("Id"): r.get("Target") for r in root("xl/_rels/workbook.xml.rels")}
+        dates = _date_styles(root("xl/styles.xml"), space) if "xl/styles.xml" in z.namelist() else set()
+        book = root("xl/workbook.xml").find("m:workbookPr", space)
+        day0 = datetime(1904, 1, 1) if book is not None and book.get("date1904") in ("1", "true") else datetime(1899, 12, 30)
         out = {}
         for s in root("xl/workbook.xml").find("m:sheets", space):
             rows = []
@@ -138,12 +182,18 @@ def sheets(data: bytes) -> dict[str, list[list]]:
                     cells += [None] * (at - 1 - len(cells))
                     v, kind = c.find("m:v", space), c.get("t")
                     raw = v.text if v is not None else None
-                    cells.append("".join(t.text or "" for t in c.iter(f"{{{space['m']}}}t")) if kind == "inlineStr" else None if raw is None else shared[int(raw)] if kind == "s" else raw == "1" if kind == "b" else raw if kind in ("str", "e") else float(raw))
+                    cells.append("".join(t.text or "" for t in c.iter(f"{{{space['m']}}}t")) if kind == "inlineStr" else None if raw is None else shared[int(raw)] if kind == "s" else raw == "1" if kind == "b" else raw if kind in ("str", "e") else day0 + timedelta(milliseconds=round(float(raw) * 86_400_000)) if int(c.get("s", -1)) in dates else float(raw))
                 rows.append(cells)
             out[s.get("name")] = rows
     return out
 
 
+def _date_styles(styles: ElementTree.Element, space: dict) -> set[int]:
+    """Places of the cell styles that show dates or times."""
+    coded = {int(f.get("numFmtId")) for f in styles.iterfind("m:numFmts/m:numFmt", space) if re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")).lower().replace("general", ""))}
+    return {i for i, x in enumerate(styles.iterfind("m:cellXfs/m:xf", space)) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | coded}
+
+
 def _excel(spark: SparkSession, path: str, o: Options) -> DataFrame:
     """A workbook is one file of a million rows at most a sheet: it is read whole, its rows typed by what their columns hold."""
     found = sheets(bytes(spark.read.format("binaryFile").load(path).first()["content"]))
@@ -160,24 +210,73 @@ def _excel(spark: SparkSession, path: str, o: Options) -> DataFrame:
     fields = []
     for i, n in enumerate(names):
         kinds = {type(r[i]) for r in body if r[i] is not None}
-        kind = T.BooleanType() if kinds == {bool} else T.DoubleType() if kinds == {float} else T.StringType()
+        kind = {bool: T.BooleanType(), float: T.DoubleType(), datetime: T.TimestampNTZType()}.get(*kinds, T.StringType()) if len(kinds) == 1 else T.StringType()
         if isinstance(kind, T.DoubleType) and all(r[i] is None or r[i].is_integer() for r in body):
             kind = T.LongType()
         for r in body:
             if r[i] is not None:
-                r[i] = int(r[i]) if isinstance(kind, T.LongType) else r[i] if not isinstance(kind, T.StringType) else (f"{r[i]:g}" if isinstance(r[i], float) else str(r[i]))
+                r[i] = int(r[i]) if isinstance(kind, T.LongType) else r[i] if not isinstance(kind, T.StringType) else r[i].isoformat(" ") if isinstance(r[i], datetime) else (f"{r[i]:g}" if isinstance(r[i], float) else str(r[i]))
         fields.append(T.StructField(n, kind))
     return spark.createDataFrame(body, T.StructType(fields))
 
 
-def load(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:
-    """One table of ``path``. Options left out are read off the file's name and first bytes."""
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names the folder for data given inline; it is not set")
+    import tempfile
+
+    return f"file://{tempfile.gettempdir()}"
+
+
+def stored(spark: SparkSession, data: bytes, format: str) -> str:
+    """The path of a new file of the shared folder that holds ``data``, a table small enough to be given by the caller."""
+    path = f"{_shared(spark)}/inline/{uuid.uuid4().hex}.{format}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    return path
+
+
+def resolved(spark: SparkSession, source, format: str | None = None) -> str:
+    """The path of a source: a path, bytes, something to read, or, with a format, text that is no path."""
+    ending = {"excel": "xlsx"}.get(kind := ALIASES.get((format or "").lower().lstrip("."), format or ""), kind)
+    if hasattr(source, "read"):
+        if hasattr(source, "seek"):
+            source.seek(0)
+        data = source.read()
+        return resolved(spark, data.encode() if isinstance(data, str) else data, format or str(getattr(source, "name", "")).rpartition(".")[2] or None)
+    if isinstance(source, (bytes, bytearray)):
+        return stored(spark, bytes(source), ending or format_of("", bytes(source)))
+    if hasattr(source, "__fspath__"):
+        source = source.__fspath__()
+    if not isinstance(source, str):
+        raise TypeError(f"no source of a table: {type(source).__name__}")
+    if format:
+        if "\n" in source or source.lstrip()[:1] in ("{", "["):
+            return stored(spark, source.encode(), ending)
+        try:
+            _head(spark, source, 1)
+        except FileNotFoundError:
+            return stored(spark, source.encode(), ending)
+    return source
+
+
+def load(spark: SparkSession, source, options: Options = Options()) -> DataFrame:
+    """One table of a path, bytes, a file-like object or, where the format is named, a text. Options left out are read off the file's name
+    and first bytes. What is given inline is written to the shared folder first, as Spark reads it later than this call."""
+    path = resolved(spark, source, options.format)
     head = _head(spark, path)
     kind = format_of(path, head, options.format)
     if kind == "csv":
         df = _csv(spark, path, options, head)
     elif kind == "json":
-        df = _json(spark, path, head)
+        df = _json(spark, path, head, options.orient)
     elif kind == "excel":
         df = _excel(spark, path, options)
     else:
@@ -200,7 +299,8 @@ def metadata(df: DataFrame) -> dict:
 
 
 def preview(df: DataFrame, n: int = 5) -> list[dict]:
-    """The first rows as JSON-safe values."""
+    """The first rows as JSON-safe values, in the order of the index where there is one."""
     import json
 
+    df = df.orderBy(INDEX) if INDEX in df.columns else df
     return [json.loads(x) for x in df.select([col(c) for c in df.columns]).limit(n).toJSON().collect()]

@@ -8,15 +8,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from ..functions.values import INDEX
+
 
 def stamp() -> str:
     return datetime.now().strftime("%Y%m%d_%H%M%S")
 
 
 def export_table(df: DataFrame, folder: str, name: str, format: str = "csv", single: bool = False) -> str | None:
-    """Written below ``folder`` under a name with the time; nothing for an empty table. ``single`` makes one file of it: for small tables."""
+    """Written below ``folder`` under a name with the time; in the order of the index where there is one; nothing for an empty table. ``single`` makes one file of it: for small tables."""
     if df.isEmpty():
         return None
+    df = df.orderBy(INDEX) if INDEX in df.columns else df
     path = f"{folder.rstrip('/')}/{name}_{stamp()}"
     out = (df.coalesce(1) if single else df).write
     out.csv(path, header=True) if format == "csv" else out.format(format).save(path)
