@@ -409,7 +409,7 @@ def silhouette(spark, sf_dir):
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    tried = clustering.sweep(table(spark, sf_dir, "embeddings"), "embedding")
+    tried = clustering.sweep(table(spark, sf_dir, "embeddings"), "embedding", restarts=1)
     best = clustering.best_k(tried)
     return spark.createDataFrame([(t.k, t.inertia, t.silhouette, t.k == best) for t in tried], "k bigint, inertia double, silhouette double, best boolean")
 
