@@ -311,6 +311,8 @@ def test_clashing_columns(spark, docs):
     assert simhash.one_of_each(extra).columns == extra.columns
     assert decontaminate.clean(extra, bench).columns == extra.columns
     assert pii.redacted(extra).columns == extra.columns
+    clash = spark.createDataFrame([(1, "me a@b.co", 9, "x", "y", "z")], "doc_id bigint, text string, n_chars bigint, _old string, _NEW string, _new_ string")
+    assert pii.redacted(clash).collect()[0].asDict() == {"doc_id": 1, "text": "me <email>", "n_chars": 10, "_old": "x", "_NEW": "y", "_new_": "z"}
     assert suffixes.deduplicated(extra).count() == docs.count()
     assert passages.passages(extra).count() > 0
 
