@@ -113,14 +113,23 @@ def b32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def warc_record(head: dict[str, str], http: bytes, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    digest = hashlib.sha1(payload).hexdigest()
-    date = datetime.datetime.strptime(head["Archive-date"].ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
-    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{head['URL']} {head['Archive-date']} {digest} {page_id(http)}")
+def warc_date(archive_date: str) -> str:
+    return datetime.datetime.strptime(archive_date.ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record_id(url: str, archive_date: str, digest: str, page: int | None) -> str:
+    """The identifier that a record gets wherever it is converted."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {archive_date} {digest} {page}')}>"
+
+
+def warc_record(head: dict[str, str], http: bytes, payload: bytes, refers_to: dict | None) -> bytes:
+    """A response, or a revisit of the record whose page_id, url and date ``refers_to`` holds."""
+    digest, revisit = hashlib.sha1(payload).hexdigest(), refers_to is not None
     block = http + b"\r\n\r\n" + (b"" if revisit else payload)
-    lines = ["WARC/1.0", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{own}>", f"WARC-Date: {date}", f"WARC-Target-URI: {head['URL']}", f"WARC-IP-Address: {head['IP-address']}", f"WARC-Payload-Digest: sha1:{b32(digest)}", f"WARC-Block-Digest: sha1:{b32(hashlib.sha1(block).hexdigest())}", f"X-Payload-Length: {len(payload)}"]
+    lines = ["WARC/1.0", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(head['URL'], head['Archive-date'], digest, page_id(http))}", f"WARC-Date: {warc_date(head['Archive-date'])}", f"WARC-Target-URI: {head['URL']}", f"WARC-IP-Address: {head['IP-address']}", f"WARC-Payload-Digest: sha1:{b32(digest)}", f"WARC-Block-Digest: sha1:{b32(hashlib.sha1(block).hexdigest())}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"X-Refers-To-Page: {'-' if refers_to is None else refers_to}"]
+        page, url, date = (refers_to[k] for k in ("page_id", "url", "date"))
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(url, date, digest, page)}", f"WARC-Refers-To-Target-URI: {url}", f"WARC-Refers-To-Date: {warc_date(date)}", f"X-Refers-To-Page: {'-' if page is None else page}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -161,7 +170,7 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
 
 
 def index_arc(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(path, at, page_id, payload_bytes, digest) of every record of ARC files; ``at`` is its place in the file."""
+    """(path, at, page_id, payload_bytes, digest, url, date) of every record of ARC files; ``at`` is its place in the file."""
 
     def run(batches):
         for batch in batches:
@@ -172,12 +181,13 @@ def index_arc(spark: SparkSession, files: list[str]) -> DataFrame:
                         if version is None:
                             version = arc_version(record)
                             continue
-                        http, payload = split_http(parse_arc(record, version)[1])
-                        rows.append((path, at, page_id(http), len(payload), hashlib.sha1(payload).hexdigest()))
+                        head, content = parse_arc(record, version)
+                        http, payload = split_http(content)
+                        rows.append((path, at, page_id(http), len(payload), hashlib.sha1(payload).hexdigest(), head["URL"], head["Archive-date"]))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["path", "at", "page_id", "payload_bytes", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["path", "at", "page_id", "payload_bytes", "digest", "url", "date"])
 
-    return one_task_each(spark, [(p,) for p in files], "path string").mapInArrow(run, "path string, at bigint, page_id bigint, payload_bytes bigint, digest string")
+    return one_task_each(spark, [(p,) for p in files], "path string").mapInArrow(run, "path string, at bigint, page_id bigint, payload_bytes bigint, digest string, url string, date string")
 
 
 def convert(spark: SparkSession, files: list[str], folder: str, min_revisit: int = MIN_REVISIT) -> list[str]:
@@ -186,13 +196,13 @@ def convert(spark: SparkSession, files: list[str], folder: str, min_revisit: int
     place = F.struct(F.coalesce("page_id", F.lit(np.iinfo(np.int64).min)).alias("id"), "path", "at")
     big = index.where(F.col("payload_bytes") >= min_revisit)
     # only payloads that occur again have revisits; each group is reduced before its rows meet it
-    first = big.groupBy("digest", "payload_bytes").agg(F.max(place).alias("top"), F.max_by("page_id", place).alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = big.groupBy("digest", "payload_bytes").agg(F.max(place).alias("top"), F.max_by(F.struct("page_id", "url", "date"), place).alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = big.join(first, ["digest", "payload_bytes"]).where((F.col("path") != F.col("top.path")) | (F.col("at") != F.col("top.at"))).select("path", F.col("at"), "refers_to", F.lit(True).alias("is"))
     # a file's revisits, which its own size bounds, go to the one task that converts it
     plan = spark.createDataFrame([(p,) for p in files], "path string").join(revisits, "path", "left").repartition(max(1, len(files)), "path").sortWithinPartitions("path", "at")
 
     def run(batches):
-        held: dict[str, dict[int, int | None]] = {}
+        held: dict[str, dict[int, dict]] = {}
         done: list[str] = []
         for batch in batches:
             for path, at, refers, is_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -205,7 +215,7 @@ def convert(spark: SparkSession, files: list[str], folder: str, min_revisit: int
             done.append(one(p, own))
         yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
 
-    def one(path: str, own: dict[int, int | None]) -> str:
+    def one(path: str, own: dict[int, dict]) -> str:
         to, version = attempt_path(folder, f"-{path.rpartition('/')[2].removesuffix('.arc.gz')}.warc.gz"), None
         with opened(path, "r") as f, opened(to, "w") as out:
             for at, (_, record) in enumerate(members(f)):
@@ -214,7 +224,7 @@ def convert(spark: SparkSession, files: list[str], folder: str, min_revisit: int
                     continue
                 head, content = parse_arc(record, version)
                 http, payload = split_http(content)
-                out.write(_member(warc_record(head, http, payload, own.get(at), at in own)))
+                out.write(_member(warc_record(head, http, payload, own.get(at))))
         return to
 
     return [r[0] for r in saved(plan.mapInArrow(run, "path string"), "warc-files").collect()]  # a row a file

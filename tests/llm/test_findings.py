@@ -70,3 +70,15 @@ def test_passages_with_insertions(spark):
     rows = [(1, " ".join(shared)), (2, " ".join(longer)), (3, " ".join(text(90)))]
     got = {(r["doc_id"], r["class"]) for r in passages.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {(1, 1), (2, 1)}
+
+
+def test_revisit_names_its_original():
+    from tabulon.llm import archives
+
+    of = lambda url, page: ({"URL": url, "Archive-date": "20240102030405", "IP-address": "0.0.0.0"}, f"HTTP/1.1 200 OK\r\nX-Page-Id: {page}".encode())
+    fields = lambda record: dict(x.split(": ", 1) for x in record.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+    first = fields(archives.warc_record(*of("http://a/", 7), b"body", None))
+    again = fields(archives.warc_record(*of("http://b/", 3), b"body", {"page_id": 7, "url": "http://a/", "date": "20240102030405"}))
+    assert (first["WARC-Type"], again["WARC-Type"]) == ("response", "revisit") and "WARC-Refers-To" not in first
+    assert (again["WARC-Refers-To"], again["WARC-Refers-To-Target-URI"], again["WARC-Refers-To-Date"]) == (first["WARC-Record-ID"], first["WARC-Target-URI"], first["WARC-Date"])
+    assert again["WARC-Record-ID"] != first["WARC-Record-ID"] and again["X-Refers-To-Page"] == "7"
