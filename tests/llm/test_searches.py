@@ -166,7 +166,7 @@ def brute_negatives(x, labels, every, positives=5, k=3):
     return sorted(tuple(map(int, r)) for r in out)
 
 
-@pytest.mark.parametrize(("block", "scale"), [(vectors.BLOCK, 1), (100, 1), (100, 2e6)])
+@pytest.mark.parametrize(("block", "scale"), [(vectors.BLOCK, 1), (100, 1), (100, 2e4)])
 def test_hard_negatives(spark, monkeypatch, block, scale):
     monkeypatch.setattr(negatives, "BLOCK", block)
     x = made(900) * np.float32(scale)
