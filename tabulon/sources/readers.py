@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import records
 from ..functions.values import INDEX, NUMBER, col, is_missing, with_index
 
 HEAD = 64 << 10
 ALIASES = {"csv": "csv", "txt": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "xlsx": "excel", "excel": "excel", "parquet": "parquet"}
 SEPARATORS = (",", ";", "\t", "|")
+#: Encodings that are checked over all bytes; others are taken as named.
+ENCODINGS = ("utf-8", "utf8", "utf-8-sig", "windows-1252", "cp1252", "latin-1", "iso-8859-1")
 ORIENTS = ("records", "columns", "index", "split", "values")
 #: What windows-1252 has where ISO-8859-1 has control characters; five bytes stand for nothing there.
 _CP1252 = {chr(b): x for b in range(0x80, 0xA0) if (x := bytes([b]).decode("cp1252", "ignore"))}
@@ -33,7 +36,7 @@ class Options:
     encoding: str | None = None
     quote: str = '"'
     escape: str = '"'
-    multiline: bool | None = None  # None: where the first bytes hold a quote; such a file is one task
+    multiline: bool | None = None  # None: where some quoted field holds a line end; False: no field does
     orient: str | None = None  # of JSON; None: records, or columns where one object holds them
     sheet: str | int | None = None
     rows: int | None = None
@@ -99,25 +102,62 @@ def separator_of(text: str) -> str:
     return best[1]
 
 
-def encoding_of(head: bytes) -> str:
+def _csv(spark: SparkSession, path: str, o: Options, head: bytes) -> DataFrame:
+    """Encodings and separators are candidates: one pass over all bytes tells whether they read every line as valid characters and with no
+    more fields than the header has, else the next is taken. Where no quoted field holds a line end, Spark's reader cuts the lines; else
+    records are cut at their true ends (see ``records``), by all tasks alike."""
+    enc = (o.encoding or "utf-8").lower().replace("_", "-")
+    if enc not in ENCODINGS:
+        return _spark_csv(spark, path, o, head, enc, o.separator or separator_of(head.decode(enc, "replace")), o.quote in head.decode(enc, "replace") if o.multiline is None else o.multiline)
+    enc = {"utf8": "utf-8", "utf-8-sig": "utf-8", "cp1252": "windows-1252", "iso-8859-1": "latin-1"}.get(enc, enc)
+    text = head.decode("utf-8", "replace").removeprefix("\ufeff")
+    first = [o.separator] if o.separator else list(dict.fromkeys([separator_of(text), *sorted(SEPARATORS, key=lambda s: s not in text.partition("\n")[0])]))
+    best = None
+    for sep in first:
+        plain = records.Dialect(sep.encode(), o.quote.encode(), o.escape.encode(), b"\r" if b"\r" in head and b"\n" not in head else b"\n")
+        surveyed = records.survey(spark, path, plain).persist()
+        found = records.told(surveyed)
+        taken = enc if enc != "utf-8" or found.utf8 else "windows-1252" if found.cp1252 else "latin-1"
+        taken = "latin-1" if taken == "windows-1252" and not found.cp1252 and not found.utf8 else taken
+        header = _header(head, taken, sep, o)
+        fits = found.width <= len(header) or o.separator is not None
+        if fits or best is None:
+            if best is not None:
+                best[0].unpersist()
+            best = (surveyed, found, taken, sep, plain, header)
+        else:
+            surveyed.unpersist()
+        if fits:
+            break
+    else:
+        raise ValueError(f"{path}: lines with more fields than the header has, whichever of {first} parts them")
+    surveyed, found, taken, sep, plain, header = best
     try:
-        head.decode("utf-8")
-    except UnicodeDecodeError as e:
-        return "utf-8" if e.start > len(head) - 4 else "windows-1252"
-    return "utf-8"
+        if not (found.breaks if o.multiline is None else o.multiline) or not header:
+            return _spark_csv(spark, path, o, head, taken, sep, False, plain.line_end.decode())
+        cut = records.records(spark, path, plain, surveyed, taken, lambda: f"{_shared(spark)}/inline/{uuid.uuid4().hex}")
+    finally:
+        surveyed.unpersist()
+    reader = lambda: spark.read.options(sep=sep, quote=o.quote, escape=o.escape)
+    strings = lambda df: getattr(df._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    wide = spark.createDataFrame([(sep * (len(header) - 1),)], "value string") if len(header) > 1 else cut.limit(0)
+    schema = DataFrame(reader().option("inferSchema", True)._jreader.csv(strings(wide.union(cut))), spark).schema if len(header) > 1 or not cut.isEmpty() else T.StructType([T.StructField("_c0", T.StringType())])
+    raw = DataFrame(reader().schema(schema)._jreader.csv(strings(cut)), spark)
+    return raw.toDF(*tidy_names(header if len(header) == len(raw.columns) else raw.columns))
 
 
-def _csv(spark: SparkSession, path: str, o: Options, head: bytes) -> DataFrame:
-    enc = o.encoding or encoding_of(head)
-    text = head.decode(enc, "replace").removeprefix("﻿")
-    sep = o.separator or separator_of(text)
-    windows = enc.lower() in ("windows-1252", "cp1252")
-    if windows:
-        enc = "ISO-8859-1"  # of the encodings Spark's reader takes, the one that reads each byte
+def _header(head: bytes, enc: str, sep: str, o: Options) -> list[str]:
     import csv
 
-    header = next(csv.reader(io.StringIO(text), delimiter=sep, quotechar=o.quote), [])
-    raw = spark.read.csv(path, sep=sep, encoding=enc, quote=o.quote, escape=o.escape, header=True, inferSchema=True, multiLine=o.quote in text if o.multiline is None else o.multiline)
+    text = head.decode(enc, "replace").removeprefix("\ufeff").lstrip("\r\n")
+    return next(csv.reader(io.StringIO(text, newline=""), delimiter=sep, quotechar=o.quote), [])
+
+
+def _spark_csv(spark: SparkSession, path: str, o: Options, head: bytes, enc: str, sep: str, multiline: bool, line_end: str | None = None) -> DataFrame:
+    header = _header(head, enc, sep, o)
+    windows = enc == "windows-1252"
+    enc = {"windows-1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(enc, enc)  # of the encodings Spark's reader takes, the one that reads each byte
+    raw = spark.read.csv(path, sep=sep, encoding=enc, quote=o.quote, escape=o.escape, header=True, inferSchema=True, multiLine=multiline, **({"lineSep": line_end} if line_end == "\r" else {}))
     if windows:
         before, after = "".join(_CP1252), "".join(_CP1252.values())
         raw = raw.select(*[(F.translate(col(f.name), before, after) if isinstance(f.dataType, T.StringType) else col(f.name)).alias(f.name) for f in raw.schema])
@@ -125,27 +165,35 @@ def _csv(spark: SparkSession, path: str, o: Options, head: bytes) -> DataFrame:
 
 
 def _oriented(spark: SparkSession, path: str, orient: str) -> DataFrame:
-    """One JSON document that is not a list of records: its cells are (row, column, value) first. Columns of numbers become longs or doubles."""
-    doc = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"))
+    """JSON documents, one a file, that are not lists of records: their cells are (file, row, column, value) first. Rows follow each other by
+    file and place; rows of different files are different whatever their labels. Columns of numbers become longs or doubles."""
+    doc = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("f"), F.col("value").alias("doc"))
     if orient in ("columns", "index"):
-        outer = doc.select(F.posexplode(F.from_json("doc", "map<string,map<string,string>>")).alias("i", "outer", "m"))
-        cells = outer.select("i", "outer", F.posexplode("m").alias("j", "inner", "value"))
-        c, r, name, row = ("i", "j", "outer", "inner") if orient == "columns" else ("j", "i", "inner", "outer")
-        cells = cells.select(F.col(c).alias("c"), F.col(name).alias("name"), F.col(r).alias("r"), F.col(row).alias("row"), "value")
+        outer = doc.select("f", F.posexplode(F.from_json("doc", "map<string,map<string,string>>")).alias("i", "outer", "m"))
+        cells = outer.select("f", "i", "outer", F.posexplode("m").alias("j", "inner", "value"))
+        c, name, row = ("i", "outer", "inner") if orient == "columns" else ("j", "inner", "outer")
+        place = F.col("j" if orient == "columns" else "i")
+        cells = cells.select("f", F.col(c).alias("c"), F.col(name).alias("name"), place.alias("r"), F.col(row).alias("row"), "value")
+    elif orient == "lists":
+        lists = doc.select("f", F.posexplode(F.from_json("doc", "map<string,array<string>>")).alias("c", "name", "m"))
+        cells = lists.select("f", "c", "name", F.posexplode("m").alias("r", "value")).withColumn("row", F.col("r").cast("string"))
     else:
         at = F.from_json("doc", "columns array<string>, data array<array<string>>") if orient == "split" else F.struct(F.lit(None).cast("array<string>").alias("columns"), F.from_json("doc", "array<array<string>>").alias("data"))
-        rows = doc.select(at.alias("x")).select("x.columns", F.posexplode("x.data").alias("r", "cells")).select("columns", "r", F.posexplode("cells").alias("c", "value"))
-        cells = rows.select("c", F.coalesce(F.get("columns", "c"), F.col("c").cast("string")).alias("name"), "r", F.col("r").cast("string").alias("row"), "value")
+        rows = doc.select("f", at.alias("x")).select("f", "x.columns", F.posexplode("x.data").alias("r", "cells")).select("f", "columns", "r", F.posexplode("cells").alias("c", "value"))
+        cells = rows.select("f", "c", F.coalesce(F.get("columns", "c"), F.col("c").cast("string")).alias("name"), "r", F.col("r").cast("string").alias("row"), "value")
     number = F.col("value").rlike(NUMBER)
     heads = cells.groupBy("name").agg(F.min("c").alias("c"), F.bool_and(number).alias("number"), F.bool_and(F.col("value").rlike(r"^[+-]?\d{1,18}$")).alias("whole")).orderBy("c", "name").collect()  # a row a column
     if not heads:
         raise ValueError(f"{path}: no {orient} in it")
-    wide = cells.groupBy("row").pivot("name", [h["name"] for h in heads]).agg(F.first("value"))
-    wide = wide.join(cells.groupBy("row").agg(F.min("r").alias("r")).withColumnRenamed("row", "_row"), F.col("row") == F.col("_row")).orderBy("r")
+    wide = cells.groupBy("f", "row").pivot("name", [h["name"] for h in heads]).agg(F.first("value"))  # one value a file, row and column
+    order = cells.groupBy(F.col("f").alias("_f"), F.col("row").alias("_row")).agg(F.min("r").alias("_r"))
+    wide = wide.join(order, (F.col("f") == F.col("_f")) & (F.col("row") == F.col("_row"))).orderBy("_f", "_r", "_row")
     return wide.select(*[col(h["name"]).cast("long" if h["whole"] else "double" if h["number"] else "string").alias(h["name"]) for h in heads])
 
 
 def _json(spark: SparkSession, path: str, head: bytes, orient: str | None = None) -> DataFrame:
+    """Records, one a line or in a list. Without an orient, files that hold one object each whose values are all objects or all lists are
+    tables by columns, whatever their rows are called."""
     if orient not in (None, *ORIENTS):
         raise ValueError(f"unknown orient: {orient}")
     if orient not in (None, "records"):
@@ -155,8 +203,10 @@ def _json(spark: SparkSession, path: str, head: bytes, orient: str | None = None
     df = spark.read.json(path, multiLine=whole)
     if not whole and df.columns == ["_corrupt_record"]:
         df = spark.read.json(path, multiLine=True)
-    if orient is None and head.lstrip()[:1] == b"{" and all(isinstance(f.dataType, T.StructType) and f.dataType.names[:1] == ["0"] for f in df.schema) and len(df.take(2)) == 1:
-        df = _oriented(spark, path, "columns")
+    if orient is None and head.lstrip()[:1] == b"{" and df.columns:
+        kinds = {type(f.dataType) for f in df.schema}
+        if kinds in ({T.StructType}, {T.ArrayType}) and df.count() == spark.read.format("binaryFile").load(path).select("path").count():
+            df = _oriented(spark, path, "columns" if kinds == {T.StructType} else "lists")
     return df.toDF(*tidy_names(df.columns))
 
 
@@ -263,6 +313,8 @@ def resolved(spark: SparkSession, source, format: str | None = None) -> str:
         try:
             _head(spark, source, 1)
         except FileNotFoundError:
+            if re.search(r"^[^,;|\t]*\.(" + "|".join(ALIASES) + r")(\.\w+)?$", source.strip(), re.IGNORECASE) or "://" in source:
+                raise  # a mistyped path, not a table of one line
             return stored(spark, source.encode(), ending)
     return source
 

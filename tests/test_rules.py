@@ -285,3 +285,103 @@ def test_index_in_profile(spark):
     p = profile.profile(with_index(spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "n int, c string")))
     assert (p.rows, p.missing_cells, p.duplicates) == (3, 1, 1)
     assert p.to_df(spark).where(F.col("name") == "c").first()["missing"] == 1
+
+
+# Readers beyond the head of a file
+
+
+LATE = "".join(f"{i},plain text {i},{i * 0.5}\n" for i in range(4000))
+
+
+def small_splits(spark, size="16k"):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+
+
+@pytest.fixture()
+def splits(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    small_splits(spark)
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_late_quote_with_line_end(splits, place):
+    text = "a,b,c\n" + LATE + '4000,"two\nlines, and ""quotes""\r\nhere",1\n' + LATE + '4001,5" pipe,2\n'
+    df = load(splits, place("late.csv", text), Options(index=True))
+    got = df.orderBy(readers.INDEX).collect()
+    assert len(got) == 8002 and df.rdd.getNumPartitions() > 4
+    assert tuple(got[4000]) == (4000, 4000, 'two\nlines, and "quotes"\r\nhere', 1.0) and tuple(got[4001])[1:] == (0, "plain text 0", 0.0) and got[8001]["b"] == '5" pipe'
+
+
+def test_late_bytes_of_windows(splits, place):
+    raw = ("a,b,c\n" + LATE).encode() + b"4000,caf\xe9 \x80,1\n"
+    assert [r["b"] for r in load(splits, place("late.csv", raw)).where("a = 4000").collect()] == ["café €"]
+    assert [r["b"] for r in load(splits, place("later.csv", raw + b"4001,\x81\x80\xe9,2\n")).where("a = 4001").collect()] == ["\x81\x80é"]
+    assert [r["b"] for r in load(splits, place("broken.csv", raw + b'4001,"\xe9\n\x80",2\n')).where("a = 4001").collect()] == ["é\n€"]
+
+
+def test_late_line_of_other_width(splits, place):
+    text = "a;b,c\n" + "".join(f"{i};x,y{i}\n" for i in range(4000))
+    assert load(splits, place("semi.csv", text)).count() == 4000
+    more = "k,v|w\n" + "1,2|3\n" * 4000 + "1,2,9|3\n"  # a comma parts all but the last line
+    df = load(splits, place("pipe.csv", more))
+    assert df.columns == ["k,v", "w"] and df.count() == 4001
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_records_as_the_csv_module_cuts_them(splits, tmp_path, seed):
+    """Random fields with quotes, line ends and separators over many splits, some of them inside one field."""
+    import csv
+    import random
+
+    rng = random.Random(seed)
+    bits = ["x", "yy ", '"', '""', "\n", "\r\n", ",", "é", "long " * 40, "z\n" * 30, "1"]
+    rows_in = [[f"r{i}", "".join(rng.choices(bits, k=rng.randint(0, 6))), "".join(rng.choices(bits, k=rng.randint(0, 3))) + "e"] for i in range(600)]
+    rows_in[300][1] = "line\n" * 9000  # splits that never leave a field
+    (tmp_path / "t").mkdir()
+    for name, part in (("a.csv", rows_in[:450]), ("b.csv", rows_in[450:])):
+        with open(tmp_path / "t" / name, "w", newline="", encoding="utf-8") as f:
+            csv.writer(f).writerows([["id", "b", "c"], *part])
+    small_splits(splits, "4k")
+    df = load(splits, str(tmp_path / "t"), Options("csv"))
+    got = {r["id"]: (r["b"] or "", r["c"]) for r in df.collect()}
+    assert df.count() == 600 and got == {i: (b, c) for i, b, c in rows_in}
+
+
+def test_splits_compose(splits, place, monkeypatch):
+    """The looked-up way of what is broadcast while small gives the same rows."""
+    text = "a,b\n" + "".join(f'{i},"x\n{i}\n"\n' if i % 3 else f"{i},y\n" for i in range(5000))
+    path = place("t.csv", text)
+    want = rows(load(splits, path))
+    assert len(want) == 5000 and (1, "x\n1\n") in want
+    monkeypatch.setattr(readers.records, "HELD_BYTES", 0)
+    assert rows(load(splits, path)) == want
+
+
+def test_a_quote_that_never_closes(splits, place, monkeypatch):
+    monkeypatch.setattr(readers.records, "RECORD_BYTES", 10_000)
+    with pytest.raises(Exception, match="quoted field of over"):
+        load(splits, place("t.csv", 'a,b\n1,"x\n' + LATE.replace(",", ";"))).count()
+
+
+def test_json_documents_of_a_folder(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.json").write_text('{"a": {"0": 1, "1": 2}, "b": {"0": "x", "1": "y"}}')
+    (tmp_path / "t/b.json").write_text('{"a": {"1": 3, "0": 4}, "b": {"1": "z", "0": null}}')
+    for orient in (None, "columns"):
+        assert [tuple(r) for r in load(spark, str(tmp_path / "t"), Options("json", orient=orient)).collect()] == [(1, "x"), (2, "y"), (3, "z"), (4, None)]
+
+
+def test_json_labels_and_lists(spark, place):
+    assert rows(load(spark, place("l.json", '{"a": {"p": 1, "q": 2}, "b": {"p": "x", "q": "y"}}'))) == [(1, "x"), (2, "y")]
+    assert rows(load(spark, place("m.json", '{"a": [1, 2],\n "b": ["x", "y"]}'))) == [(1, "x"), (2, "y")]
+    assert load(spark, place("n.json", '{"a": {"p": 1}}\n{"a": {"p": 2}}\n')).count() == 2
+    assert rows(load(spark, place("o.json", '{"a": 1, "b": "x"}'))) == [(1, "x")]
+
+
+def test_mistyped_paths(spark):
+    for path in ("/nowhere/x.csv", "nowhere/x.csv.gz", "s3://bucket/table"):
+        with pytest.raises(Exception, match="nowhere|s3"):
+            load(spark, path, Options("csv"))
