@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import records
+from ..functions.shared import shared_dir
 from ..functions.values import INDEX, NUMBER, col, is_missing, with_index
 
 HEAD = 64 << 10
@@ -135,7 +136,7 @@ def _csv(spark: SparkSession, path: str, o: Options, head: bytes) -> DataFrame:
     try:
         if not (found.breaks if o.multiline is None else o.multiline) or not header:
             return _spark_csv(spark, path, o, head, taken, sep, False, plain.line_end.decode())
-        cut = records.records(spark, path, plain, surveyed, taken, lambda: f"{_shared(spark)}/inline/{uuid.uuid4().hex}")
+        cut = records.records(spark, path, plain, surveyed, taken, lambda: f"{shared_dir(spark)}/inline/{uuid.uuid4().hex}")
     finally:
         surveyed.unpersist()
     reader = lambda: spark.read.options(sep=sep, quote=o.quote, escape=o.escape)
@@ -270,20 +271,9 @@ def _excel(spark: SparkSession, path: str, o: Options) -> DataFrame:
     return spark.createDataFrame(body, T.StructType(fields))
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names the folder for data given inline; it is not set")
-    import tempfile
-
-    return f"file://{tempfile.gettempdir()}"
-
-
 def stored(spark: SparkSession, data: bytes, format: str) -> str:
     """The path of a new file of the shared folder that holds ``data``, a table small enough to be given by the caller."""
-    path = f"{_shared(spark)}/inline/{uuid.uuid4().hex}.{format}"
+    path = f"{shared_dir(spark)}/inline/{uuid.uuid4().hex}.{format}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
     try:

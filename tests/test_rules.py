@@ -385,3 +385,35 @@ def test_mistyped_paths(spark):
     for path in ("/nowhere/x.csv", "nowhere/x.csv.gz", "s3://bucket/table"):
         with pytest.raises(Exception, match="nowhere|s3"):
             load(spark, path, Options("csv"))
+
+
+# Models fitted together
+
+
+def test_kmeans_together_and_apart(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.5, (60, 3)) for c in (0, 4, 9)] + [np.zeros((90, 3))])
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(7)
+    together = clustering.fit_many(df, [2, 3, 4, 5], "v", restarts=3)
+    for k, f in together.items():
+        apart = clustering.fit_kmeans(df, k, "v", restarts=3)
+        assert math.isclose(f.inertia, apart.inertia, rel_tol=1e-9) and f.sizes.sum() == len(x)
+        at, d = clustering.assigned(x, f.centres)
+        assert math.isclose(d.sum(), f.inertia, rel_tol=1e-9) and np.bincount(at, minlength=k).tolist() == f.sizes.tolist()
+        lloyd = np.array([x[at == i].mean(0) for i in range(k)])
+        assert np.abs(lloyd - f.centres).max() < 0.05  # a fixed point, to the tolerance
+        named = clustering.labelled(df, f, "v").collect()
+        assert [r["cluster_label"] for r in named] == clustering.assigned(np.array([r["v"] for r in named]), f.centres)[0].tolist()
+    assert together[3].inertia < 1.2 * sum(((x[x.sum(1).argsort()][a:b] - x[x.sum(1).argsort()][a:b].mean(0)) ** 2).sum() for a, b in ((0, 150), (150, 210), (210, 270)))
+
+
+def test_sweep_skips_what_fails(spark):
+    x = [[float(i % 3), 0.0] for i in range(30)]
+    df = spark.createDataFrame([(r,) for r in x], "v array<double>")
+    with pytest.warns(UserWarning, match="K=4 was skipped: only 3 clusters"):
+        tried = clustering.sweep(df, "v", 2, 5, restarts=2)
+    assert [t.k for t in tried] == [2, 3] == list(tried.fits) and set(tried.skipped) == {4, 5} and math.isclose(tried[1].inertia, 0, abs_tol=1e-9) and tried[1].silhouette == 1
+    for t in tried:
+        assert math.isclose(t.silhouette, clustering.silhouette(clustering.labelled(df, tried.fits[t.k], "v"), "v", "cluster_label"), rel_tol=1e-9)
+    with pytest.raises(ValueError, match="three rows"):
+        clustering.sweep(df.limit(2), "v")
