@@ -417,3 +417,80 @@ def test_sweep_skips_what_fails(spark):
         assert math.isclose(t.silhouette, clustering.silhouette(clustering.labelled(df, tried.fits[t.k], "v"), "v", "cluster_label"), rel_tol=1e-9)
     with pytest.raises(ValueError, match="three rows"):
         clustering.sweep(df.limit(2), "v")
+
+
+def full_batch(x, epochs=50, rate=0.01, seed=42):
+    """The loss of Adam over all rows at once, a step an epoch."""
+    d = x.shape[1]
+    z = latent.latent_size(d)
+    inner = latent.hidden_sizes(d, z)
+    sizes = [d, *inner, z, *reversed(inner), d]
+    rng = np.random.default_rng(seed)
+    params = [rng.normal(0, math.sqrt(1 / a), (a, b)) for a, b in zip(sizes, sizes[1:], strict=False)] + [np.zeros(k) for k in sizes[1:]]
+    m, v, n = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], len(sizes) - 1
+    for t in range(1, epochs + 1):
+        loss, gw, gb = latent._pass(x, params[:n], params[n:], "relu", len(inner))
+        for i, g in enumerate(gw + gb):
+            g = g / len(x)
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+            params[i] = params[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+    return loss / len(x)
+
+
+@pytest.mark.parametrize("batch", [128, 16])
+def test_many_steps_a_pass(spark, batch):
+    """Mini-batches reach at most the loss of full batches in as many epochs, in one task and with the weights of several averaged."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 3)) @ rng.normal(size=(3, 12)) + 0.05 * rng.normal(size=(3000, 12))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    net = latent.train(df, "v", batch=batch)
+    assert len(net.losses) == 50 and net.losses[-1] <= full_batch(x) and net.fallback is None
+
+
+def test_weight_decay():
+    """One step by hand: decay times the weight is part of the gradient."""
+    rng = np.random.default_rng(9)
+    params = [rng.normal(size=s) for s in ((4, 2), (2, 4), (2,), (4,))]
+    x, old = rng.normal(size=(5, 4)), [p.copy() for p in params]
+    _, gw, gb = latent._pass(x, old[:2], old[2:], "relu", 0)
+    _, step = latent._walk(x, (params, [np.zeros_like(p) for p in old], [np.zeros_like(p) for p in old], 0), ("relu", 0, 2), 0.01, 0.3, 128, rng)
+    for was, now, g in zip(old, params, gw + gb, strict=True):
+        g = g / 5 + 0.3 * was
+        assert np.allclose(now, was - 0.01 * g / (np.abs(g) + 1e-8), atol=1e-9) and step == 1
+
+
+def test_simpler_network_after_failure(spark, monkeypatch):
+    assert [latent.simpler_hidden(*a) for a in ((64, 16), (3, 2), (4, 2), (2, 1))] == [[40], [], [3], []]
+    x = np.random.default_rng(7).normal(size=(200, 12))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>")
+    with pytest.warns(UserWarning, match="trying layers of"):
+        net = latent.train(df, "v", hidden=[0], epochs=3)
+    assert "can't be built" in net.fallback and [w.shape[1] for w in net.weights][:2] == [latent.simpler_hidden(12, latent.latent_size(12))[0], latent.latent_size(12)]
+    with pytest.warns(UserWarning, match="diverged"), pytest.raises(ValueError, match="diverged"):
+        latent.train(df, "v", rate=1e200, epochs=3, hidden=[10])
+    with pytest.raises(ValueError, match="diverged"):
+        latent.train(df, "v", rate=1e200, epochs=3, fallback=False)
+
+
+def test_tsne_of_all_rows(spark):
+    """Neighbours on a map of landmarks that the other rows are placed on are kept nearly as well as by exact t-SNE of all rows."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8, 10))[rng.integers(0, 8, 600)] * 4 + rng.normal(size=(600, 10))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "k bigint, v array<double>")
+
+    def kept(y):
+        far = lambda a: np.argsort(latent._squares(a, a) + np.diag(np.full(len(a), np.inf)), axis=1)
+        before, after = far(x)[:, :10], far(y)[:, :30]
+        return np.mean([len({*a} & {*b}) / 10 for a, b in zip(before, after, strict=True)])
+
+    got = latent.tsne_chart(df, "v", "k", landmarks=200).orderBy("k").toPandas()
+    placed, exact = kept(got[["x", "y"]].to_numpy()), kept(latent.tsne(x))
+    assert len(got) == 600 and placed > 0.75 * exact > 0.4, (placed, exact)
+    whole = latent.tsne_chart(df.limit(150), "v", "k", landmarks=200)
+    assert whole.count() == 150
+    assert latent.tsne_chart(df.limit(1), "v", "k").count() == 1
+    fitted = latent.Map(x[:200], latent.tsne(x[:200]))
+    at = fitted.y[:50] + 0.3
+    w = 1 / (1 + latent._squares(at, fitted.y))
+    total, push = fitted.repulsion(at)
+    assert np.allclose(total, w.sum(1), rtol=0.02) and np.allclose(push, (w * w).sum(1)[:, None] * at - (w * w) @ fitted.y, atol=0.05 * np.abs(push).max())
