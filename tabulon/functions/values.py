@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,12 +67,22 @@ def ratio(a: Column, b: Column) -> Column:
 
 def with_index(df: DataFrame) -> DataFrame:
     """``original_index`` as first column, contiguous from 0, unless there already. Partitions are counted, and a row's number is its
-    partition's start plus its place there. A plan with a shuffle may be cut anew for each job, so there the rows are numbered in one run."""
+    partition's start plus its place there. A plan with a shuffle may be cut anew for each job, so its rows are written to the shared folder
+    first; there a row's number is its file's start plus its place in the file."""
     if INDEX in df.columns:
         return df
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        rdd = df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-        return df.sparkSession.createDataFrame(rdd, T.StructType([T.StructField(INDEX, T.LongType(), False), *df.schema.fields]))
+        from .shared import new_path
+
+        names = [f"c{i}" for i in range(len(df.columns))]
+        path = new_path(df.sparkSession, "indexed")
+        df.toDF(*names).write.parquet(path)
+        rows = df.sparkSession.read.schema(T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, df.schema, strict=True)])).parquet(path)
+        rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+        before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy("_file").agg(F.count("*").alias("n")).select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+        held = F.broadcast(starts)  # about 100 bytes a partition; the files' names follow the partitions
+        return rows.join(held, "_file").select((F.col("_start") + F.col("_place")).alias(INDEX), *[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])
     starts, n = [], 0
     sizes = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()}  # a row a partition
     for p in range(max(sizes, default=-1) + 1):

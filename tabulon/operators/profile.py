@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.quantiles import quantiles
 from ..functions.values import INDEX, col, is_missing, kind, present, to_number, tokens
@@ -57,24 +58,50 @@ def names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != INDEX]
 
 
-def counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(column, n_missing, missing_ratio, n_unique, unique_ratio): one aggregate."""
-    cols = cols or names(df)
-    one = df.agg(F.count("*").alias("n"), *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)], *[F.count_distinct(present(df, c)).alias(f"u{i}") for i, c in enumerate(cols)])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("n_missing"), F.col(f"u{i}").alias("n_unique"), F.col("n")) for i, c in enumerate(cols)])
-    out = one.select(F.explode(rows).alias("x")).select("x.*")
-    there = F.col("n") - F.col("n_missing")
+def value_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value, n): how often every value of every column occurs, as text; null is a value, NaN counts as null. Equal text is the same
+    value, but for times with a zone and nested values, which are told apart by what they are."""
+    parts = []
+    for c in cols:
+        x, t, extra = present(df, c), df.schema[c].dataType, F.lit(None).cast("string")
+        if isinstance(t, (T.FloatType, T.DoubleType)):
+            x = F.when(x == 0, F.lit(0).cast(t)).otherwise(x)  # -0.0 is 0.0
+        elif isinstance(t, T.TimestampType):
+            extra = F.unix_micros(x).cast("string")
+        elif isinstance(t, T.BinaryType):
+            extra = F.hex(x)
+        elif isinstance(t, (T.ArrayType, T.StructType, T.MapType)):
+            extra = F.to_json(F.struct(x.alias("x")))
+        parts.append(F.struct(F.lit(c).alias("column"), x.cast("string").alias("value"), extra.alias("extra")))
+    long = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    return long.groupBy("column", "value", "extra").agg(F.count("*").alias("n")).drop("extra")
+
+
+def by_column(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, n_missing, n_unique, rows, top): one count of values gives them all; ``top``: the most frequent value (n negative, value),
+    the least of equals, null without any."""
+    n, there = F.col("n"), F.col("value").isNotNull()
+    some = value_counts(df, cols).groupBy("column").agg(
+        F.coalesce(F.sum(F.when(~there, n)), F.lit(0)).alias("n_missing"), F.count_if(there).alias("n_unique"), F.sum("n").alias("rows"), F.min(F.when(there, F.struct((-n).alias("n"), "value"))).alias("top"),
+    )
+    named = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return named.join(F.broadcast(some), "column", "left").select("column", zero("n_missing"), zero("n_unique"), zero("rows"), "top")  # a row a column
+
+
+def _shares(found: DataFrame) -> DataFrame:
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return out.select("column", "n_missing", share(F.col("n_missing"), F.col("n")).alias("missing_ratio"), "n_unique", share(F.col("n_unique"), there).alias("unique_ratio"))
+    return found.select("column", "n_missing", share(F.col("n_missing"), F.col("rows")).alias("missing_ratio"), "n_unique", share(F.col("n_unique"), F.col("rows") - F.col("n_missing")).alias("unique_ratio"), "rows", "top")
+
+
+def counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(column, n_missing, missing_ratio, n_unique, unique_ratio)."""
+    return _shares(by_column(df, cols or names(df))).drop("rows", "top")
 
 
 def top_values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, value, n): the most frequent value as text, the least of equals."""
-    cols = cols or names(df)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), present(df, c).cast("string").alias("value")) for c in cols])).alias("x")).select("x.*").where("value is not null")
-    n = long.groupBy("column", "value").agg(F.count("*").alias("n"))
-    best = n.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("x"))
-    return best.select("column", "x.value", (-F.col("x.n")).alias("n"))
+    return by_column(df, cols or names(df)).where("top is not null").select("column", "top.value", (-F.col("top.n")).alias("n"))
 
 
 def top_typed(df: DataFrame, c: str):
@@ -163,9 +190,9 @@ def override_roles(profile: Profile, overrides: dict[str, str]) -> Profile:
 def profile(df: DataFrame) -> Profile:
     """Everything above in a handful of jobs."""
     cols = names(df)
-    n = df.count()
-    by = {r["column"]: r for r in counts(df, cols).collect()}  # a row a column
-    top = {r["column"]: (r["value"], r["n"]) for r in top_values(df, cols).collect()}
+    by = {r["column"]: r for r in _shares(by_column(df, cols)).collect()}  # a row a column
+    top = {c: (r["top"]["value"], -r["top"]["n"]) for c, r in by.items() if r["top"]}
+    n = max((r["rows"] for r in by.values()), default=0) if cols else df.count()
     numbers, strings = [c for c in cols if kind(df, c) == "number"], [c for c in cols if kind(df, c) == "text"]
     summary = {r["column"]: r.asDict() for r in numeric_summary(df, numbers).collect()} if numbers else {}
     stats = {r["column"]: r for r in text_stats(df, strings).collect()} if strings else {}

@@ -494,3 +494,26 @@ def test_tsne_of_all_rows(spark):
     w = 1 / (1 + latent._squares(at, fitted.y))
     total, push = fitted.repulsion(at)
     assert np.allclose(total, w.sum(1), rtol=0.02) and np.allclose(push, (w * w).sum(1)[:, None] * at - (w * w) @ fitted.y, atol=0.05 * np.abs(push).max())
+
+
+# Plans
+
+
+def test_index_after_a_shuffle(spark):
+    df = spark.range(5000, numPartitions=9).select("id", F.lit("x").alias("_file"), F.lit(1).alias("a.b")).repartitionByRange(6, "id").sortWithinPartitions("id")
+    got = with_index(df)
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == [INDEX, "id", "_file", "a.b"] and all(r[0] == r[1] for r in got.collect()) and got.count() == 5000
+    assert with_index(df.where("id < 0").repartition(2)).count() == 0
+
+
+def test_profile_counts_values_once(spark):
+    rows_in = [(0.0, "a", datetime(2024, 1, 1), [1, 2], b"x"), (-0.0, "a", datetime(2024, 1, 1), [1, 2], b"y"), (float("nan"), None, None, [3], b"x"), (1.5, "b", datetime(2024, 1, 2), None, None)]
+    df = spark.createDataFrame(rows_in, "d double, s string, t timestamp, l array<int>, b binary")
+    plan = profile.by_column(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    got = {r["column"]: tuple(r)[1:4] for r in profile.by_column(df, df.columns).collect()}
+    assert got == {"d": (1, 2, 4), "s": (1, 2, 4), "t": (1, 2, 4), "l": (1, 2, 4), "b": (1, 2, 4)}
+    assert {c.name: (c.top_value, c.top_frequency) for c in profile.profile(df).by_column if c.name in "ds"} == {"d": ("0.0", 2), "s": ("a", 2)}
+    none = profile.profile(df.limit(0))
+    assert none.rows == 0 and [(c.missing, c.unique, c.top_value) for c in none.by_column] == [(0, 0, None)] * 5
