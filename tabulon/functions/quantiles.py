@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .values import col, to_number
+from .values import col, in_files, to_number
 
 #: Up to so many values are left to one aggregate; more are narrowed down by histograms of BINS counts. Either way gives the same values.
 ONE_TASK, BINS = 2_000_000, 1024
@@ -65,16 +67,19 @@ def _at_ranks(rows: DataFrame, wanted: set, grouped: bool) -> dict:
     return done
 
 
-def average_ranks(df: DataFrame, value: Column, parts: int = 256) -> DataFrame:
-    """(value, rank): the average rank of each distinct value. Values are cut at approximate quantiles and counted within each part, so
-    no task holds more than a part of the distinct values."""
+def average_ranks(df: DataFrame, value: Column) -> DataFrame:
+    """(value, rank): the average rank of each distinct value. The counted values are sorted over all tasks, by sampled ranges; each task adds
+    up its own, and what the tasks before it hold is added afterwards. A hot value is one row by then."""
     counts = df.select(value.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    edges = sorted(set(counts.agg(F.approx_percentile("value", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
-    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("value"))) if edges else F.lit(0)
-    counts = counts.withColumn("part", part)
-    before, total = {}, 0
-    for p, n in sorted(tuple(r) for r in counts.groupBy("part").agg(F.sum("n")).collect()):  # a row a part
-        before[p], total = total, total + n
-    start = F.element_at(F.array(*[F.lit(before.get(p, 0)) for p in range(len(edges) + 1)]), F.col("part") + 1)
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("value", (start + inside + (F.col("n") + 1) / 2).alias("rank"))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            upto = seen + n.cumsum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(upto - n)], ["value", "n", "inside"])
+            seen = int(upto[-1]) if len(n) else seen
+
+    kind = counts.schema["value"].dataType.simpleString()
+    rows, starts = in_files(counts.orderBy("value").mapInArrow(add_up, f"value {kind}, n bigint, inside bigint"), F.col("c1"))
+    return rows.join(F.broadcast(starts), "_file").select(F.col("c0").alias("value"), (F.col("_start") + F.col("c2") + (F.col("c1") + 1) / 2).alias("rank"))

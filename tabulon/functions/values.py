@@ -65,6 +65,20 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def in_files(df: DataFrame, weight: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, starts): ``df`` written to the shared folder, a file a partition, its columns named c0, c1, ... with each row's _file and _place
+    there; and (_file, _start): the sum of ``weight`` (of those columns) over all files before, a row of about 100 bytes for each partition."""
+    from .shared import new_path
+
+    names = [f"c{i}" for i in range(len(df.columns))]
+    path = new_path(df.sparkSession, "numbered")
+    df.toDF(*names).write.parquet(path)
+    rows = df.sparkSession.read.schema(T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, df.schema, strict=True)])).parquet(path)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))  # names follow the partitions
+    before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    return rows, rows.groupBy("_file").agg(F.sum(weight).alias("_n")).select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+
+
 def with_index(df: DataFrame) -> DataFrame:
     """``original_index`` as first column, contiguous from 0, unless there already. Partitions are counted, and a row's number is its
     partition's start plus its place there. A plan with a shuffle may be cut anew for each job, so its rows are written to the shared folder
@@ -72,17 +86,8 @@ def with_index(df: DataFrame) -> DataFrame:
     if INDEX in df.columns:
         return df
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        from .shared import new_path
-
-        names = [f"c{i}" for i in range(len(df.columns))]
-        path = new_path(df.sparkSession, "indexed")
-        df.toDF(*names).write.parquet(path)
-        rows = df.sparkSession.read.schema(T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, df.schema, strict=True)])).parquet(path)
-        rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place"))
-        before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-        starts = rows.groupBy("_file").agg(F.count("*").alias("n")).select("_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-        held = F.broadcast(starts)  # about 100 bytes a partition; the files' names follow the partitions
-        return rows.join(held, "_file").select((F.col("_start") + F.col("_place")).alias(INDEX), *[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])
+        rows, starts = in_files(df, F.lit(1).cast("long"))
+        return rows.join(F.broadcast(starts), "_file").select((F.col("_start") + F.col("_place")).alias(INDEX), *[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
     starts, n = [], 0
     sizes = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()}  # a row a partition
     for p in range(max(sizes, default=-1) + 1):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
-from ..functions.values import col, is_missing, present, to_number
+from ..functions.values import INDEX, col, is_missing, present, to_number, with_index
 
 MAX_LEVELS = 100
 SCALERS = ("standard", "minmax", "robust", "none")
@@ -98,16 +98,9 @@ def with_ordinal(df: DataFrame, c: str, to: str, levels: DataFrame | None = None
 
 
 def ordinal_levels(df: DataFrame, c: str) -> DataFrame:
-    """(level, code)."""
-    from pyspark.sql import Window
-
+    """(level, code): levels sorted over all tasks by sampled ranges, whatever they begin with."""
     levels = df.select(present(df, c).cast("string").alias("level")).where("level is not null").distinct()
-    # levels are counted by their first two characters, so no task numbers all of them
-    head = F.substring("level", 1, 2)
-    sizes = levels.groupBy(head.alias("head")).agg(F.count("*").alias("n"))
-    start = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("head", "start")
-    own = F.row_number().over(Window.partitionBy("head").orderBy("level")) - 1
-    return levels.withColumn("head", head).withColumn("own", own).join(F.broadcast(start), "head").select("level", (F.col("start") + F.col("own")).cast("long").alias("code"))
+    return with_index(levels.orderBy("level")).select("level", F.col(INDEX).alias("code"))
 
 
 def fit(df: DataFrame, types: dict[str, str], scaler: str = "standard", encoder: str = "onehot", scalers: dict[str, str] | None = None, encoders: dict[str, str] | None = None, text: bool = True, max_levels: int = MAX_LEVELS) -> FeatureMap:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.functions.values import INDEX, to_number, with_index
+from tabulon.functions.values import INDEX, in_files, to_number, with_index
 from tabulon.operators import cleaning, clustering, embedding, features, latent, profile, schema
 from tabulon.plans import pipeline
 from tabulon.sources import readers, sinks
@@ -517,3 +517,30 @@ def test_profile_counts_values_once(spark):
     assert {c.name: (c.top_value, c.top_frequency) for c in profile.profile(df).by_column if c.name in "ds"} == {"d": ("0.0", 2), "s": ("a", 2)}
     none = profile.profile(df.limit(0))
     assert none.rows == 0 and [(c.missing, c.unique, c.top_value) for c in none.by_column] == [(0, 0, None)] * 5
+
+
+def test_levels_and_ranks_over_many_tasks(spark):
+    from tabulon.functions.quantiles import average_ranks
+    from tabulon.operators import charts
+
+    names = [f"Customer#{i:06d}" for i in range(3000)]
+    df = spark.createDataFrame([(n,) for n in names] * 2 + [(None,)], "c string").repartition(6)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        levels = features.ordinal_levels(df, "c")
+        assert in_files(df.distinct().orderBy("c"), F.lit(1))[1].count() > 4
+        assert [tuple(r) for r in levels.orderBy("level").collect()] == [(n, i) for i, n in enumerate(names)]
+        rng = np.random.default_rng(3)
+        v = np.where(rng.random(2000) < 0.4, 7.0, rng.integers(0, 500, 2000) / 4)
+        got = {r["value"]: r["rank"] for r in average_ranks(spark.createDataFrame([(float(a),) for a in v], "v double"), F.col("v")).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    import pandas as pd
+
+    assert got == dict(zip(v, pd.Series(v).rank(), strict=True))
+    table = pd.DataFrame({"a": v, "b": v**2 + rng.normal(0, 50, 2000), "c": rng.integers(0, 9, 2000).astype(float), "d": np.where(rng.random(2000) < 0.2, np.nan, v)})
+    want = table.corr("spearman")
+    for r in charts.correlation(spark.createDataFrame(table), list("abcd"), "spearman").collect():
+        assert math.isclose(r["r"], want.loc[r["a"], r["b"]], abs_tol=1e-9), r
+    assert charts.correlation(spark.createDataFrame(table), list("abcd"), "spearman").count() == 6
