@@ -544,3 +544,61 @@ def test_levels_and_ranks_over_many_tasks(spark):
     for r in charts.correlation(spark.createDataFrame(table), list("abcd"), "spearman").collect():
         assert math.isclose(r["r"], want.loc[r["a"], r["b"]], abs_tol=1e-9), r
     assert charts.correlation(spark.createDataFrame(table), list("abcd"), "spearman").count() == 6
+
+
+# Failures, progress and logs
+
+
+def test_failed_rows_are_named(spark):
+    def load():
+        tried = []
+
+        def model(texts):
+            tried.append(len(texts))
+            if any("bad" in t for t in texts) or len(tried) == 1:
+                raise ValueError("can't read " + texts[0])
+            return np.ones((len(texts), 2))
+
+        return model
+
+    df = spark.createDataFrame([(1, "a", "x"), (2, "bad one", "y"), (3, None, "bad two")], "k int, t string, u string").coalesce(1)
+    got = embedding.embed(df, ["t", "u"], embedding.Model(load, 2, errors="why", wait=0.01), "concat_vector").orderBy("k").collect()
+    assert [(r["k"], r["embedding"], r["why"]) for r in got] == [(1, [1, 1, 1, 1], None), (2, [0, 0, 1, 1], "ValueError: can't read bad one"), (3, [1, 1, 0, 0], "ValueError: can't read bad two")]
+    told = embedding.embed(df.where("k = 2"), ["t"], embedding.Model(load, 2, errors="why")).collect()
+    assert told[0]["why"] == "ValueError: can't read bad one" and "_made" not in told[0].asDict()
+    asked = embedding.embed(df, ["t"], embedding.HashedWords(8), model="e5", query=True)
+    assert asked.where("k = 1").first()["embedding"] != embedding.embed(df, ["t"], embedding.HashedWords(8), model="e5").where("k = 1").first()["embedding"]
+
+
+def test_progress_rises_while_a_job_runs(spark):
+    import time
+
+    from tabulon.plans import progress
+
+    seen = []
+
+    def slow(parts):
+        for p in parts:
+            time.sleep(0.4)
+            yield p
+
+    with progress.watched(spark, lambda done, total: seen.append((done, total)), every=0.1):
+        spark.range(0, 24, 1, 24).mapInPandas(slow, "id bigint").count()
+    done = [d for d, _ in seen]
+    assert len(done) >= 3 and done == sorted(set(done)) and done[-1] == seen[-1][1] >= 24
+    with progress.watched(spark, lambda *_: 1 / 0):
+        assert spark.range(3).count() == 3
+
+
+def test_run_reports_and_logs(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(float(a), float(b), "uv"[i % 2]) for i, (a, b) in enumerate(rng.normal(size=(60, 2)) + 5 * rng.integers(0, 2, (60, 1)))], "x double, y double, g string")
+    seen = []
+    out = pipeline.run(df, pipeline.Config(autoencoder=False, k_max=3, restarts=1, progress=lambda *a: seen.append(a)))
+    assert {"profile", "clustering"} <= {s for s, _, _ in seen} and [d for _, d, _ in seen] == sorted(d for _, d, _ in seen)
+    said = [m for _, _, m in out.tracker.lines]
+    assert "profile: running" in said and "evaluation: done" in said and said.index("clustering: running") < said.index("evaluation: running")
+    log = pipeline.captured
+    with log() as lines, pytest.raises(ValueError, match="no feature columns"):
+        pipeline.run(spark.createDataFrame([(1, 2)], "a_id int, b_id int"))
+    assert [(lv, m) for _, lv, m in lines.lines if lv == "ERROR"] == [("ERROR", "schema: failed (no feature columns)")] and lines.to_df(spark).count() == len(lines.lines)
