@@ -10,6 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of an Arrow batch that goes to a Python worker: rows of whole texts are too long for a limit by their number.
@@ -113,3 +114,12 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         held.append(batch.slice(cut))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``id_col`` is among the values of ``gone``, a table of one column. Rows with a null id stay, and so do
+    all columns, whatever they are called."""
+    name = "gone"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.join(gone.toDF(name).distinct(), docs[f"`{id_col}`"] == F.col(name), "left_anti")

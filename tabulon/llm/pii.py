@@ -146,26 +146,20 @@ def redact(text: str | None) -> str | None:
 
 def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced; ``length_col``, where there is one, follows the new text. Same columns and rows,
-    whatever the names of the others: old and new text travel under names that are free."""
+    whatever the names of the others: columns travel by place."""
     fields = docs.schema
-
-    def free(name: str) -> str:
-        while name.lower() in {f.name.lower() for f in fields}:
-            name += "_"
-        return name
-
-    old, new = free("_old"), free("_new")
+    at, n = docs.columns.index(text_col), len(fields)
 
     def run(batches):
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index(old))
-            yield batch.append_column(new, pa.array([redact(x) for x in col.to_pylist()], pa.string()))
-
-    kept = [f for f in fields if f.name != text_col]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    out = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_col}`").alias(old)).mapInArrow(run, f"{ddl}{', ' if ddl else ''}{old} string, {new} string")
-    size = lambda f: F.when(F.col(new) != F.col(old), F.length(new).cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name)
-    return out.select(*[F.col(new).alias(f.name) if f.name == text_col else size(f) if f.name == length_col else F.col(f"`{f.name}`") for f in fields])
+            yield batch.append_column(f"c{n}", pa.array([redact(x) for x in batch.column(at).to_pylist()], pa.string()))
+
+    ddl = [f"c{i} {'string' if i == at else f.dataType.simpleString()}" for i, f in enumerate(fields)]
+    safe = docs.toDF(*[f"c{i}" for i in range(n)]).withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+    out = safe.mapInArrow(run, ", ".join([*ddl, f"c{n} string"]))
+    old, new = F.col(f"c{at}"), F.col(f"c{n}")
+    size = lambda i, f: F.when(new != old, F.length(new).cast(f.dataType)).otherwise(F.col(f"c{i}"))
+    return out.select(*[(new if i == at else size(i, f) if f.name == length_col else F.col(f"c{i}")).alias(f.name) for i, f in enumerate(fields)])
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, grouped, saved, table, utf8
+from .common import arrow_map, grouped, saved, table, utf8, without
 from .components import components
 
 SEED, RADIUS, SHINGLE, BITS = 42, 3, 3, 64
@@ -219,8 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose component has a smaller id. All columns stay."""
-    found = near_duplicates(docs, id_col, text_col).where(F.col("component") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(found, docs[id_col] == F.col("_gone"), "left_anti")
+    return without(docs, id_col, near_duplicates(docs, id_col, text_col).where(F.col("component") != F.col(id_col)).select(id_col))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tabulon.llm import archives, audio, bpe_reuse, components, decontaminate, passages, pii, quality, simhash, simple8b, suffixes
+from tabulon.llm import archives, audio, bpe_reuse, components, decontaminate, passages, pii, quality, similar, simhash, simple8b, suffixes
 
 WORDS = ["river", "stone", "Märchen", "the", "of", "día", "quick", "brown", "fox", "jumps", "over", "lazy", "dog", "naïve", "zone", "apple", "tree", "house", "light", "water", "I'm", "it's", "x2", "3,000", "(see)", "foo-bar", "END.", "été"]
 
@@ -265,11 +265,35 @@ def test_decontamination(spark):
     ]
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.contaminated(d, b).collect()}
-    assert got == {(10, 1): "exact", (11, 1): "reparameterised", (12, 2): "exact"}
-    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == {13, 14, 15, 16}
+    assert got == {(10, 1): "exact", (11, 1): "reparameterised", (12, 2): "exact", (16, 1): "reparameterised"}  # two values of 16 may coincide
+    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == {13, 14, 15}
     assert decontaminate.contaminated(d.limit(0), b.limit(0)).count() == 0
 
 
+REPEATED = [
+    ("A shop sold 3 apples and 5 pears to the same customer on that day and gave the rest away.", "A shop sold 4 apples and 4 pears to the same customer on that day and gave the rest away."),
+    ("The tank held 30 gallons when it was full and lost 2 gallons every hour until it was empty.", "The tank held 40 barrels when it was full and lost 7 barrels every hour until it was empty."),
+    ("Yesterday the teacher asked Anna Smith to give Peter Brown the book that Carol White had lent to David Green.", "Yesterday the teacher asked Maria Lopez to give Igor Petrov the book that Jane Doe had lent to Omar Haddad."),
+    ("Anna runs ten laps. Then we ask how many laps Anna ran before lunch. Anna rests for an hour after that.", "Kofi runs ten laps. Then we ask how many laps Kofi ran before lunch. Kofi rests for an hour after that."),
+]
+
+
+@pytest.mark.parametrize("i", range(len(REPEATED)))
+def test_reparameterised_copies(spark, i):
+    item, copy = REPEATED[i]
+    unlike = copy.replace("the", "some").replace("and", "or").replace("laps", "miles today")
+    d = spark.createDataFrame([(1, copy), (2, "Some words before. " + copy + " Some words after."), (3, unlike), (4, item)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["kind"], r["n_matched"], r["n_windows"]) for r in decontaminate.contaminated(d, spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "reparameterised", 2: "reparameterised", 4: "exact"} and all(m == n for k, (_, m, n) in got.items() if k != 2)
+
+
+def test_one_value_two_values(spark):
+    """An item's value that stands for two values of the document is no copy."""
+    item = "He paid 5 coins for the bread and then 5 coins for the milk and 5 coins for the rest."
+    d = spark.createDataFrame([(1, item.replace("5", "6")), (2, "He paid 6 coins for the bread and then 7 coins for the milk and 8 coins for the rest.")], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in decontaminate.contaminated(d, spark.createDataFrame([(1, item)], "item_id bigint, text string")).where("n_matched = n_windows").collect()] == [1]
+
+
 def test_quality_held_out(spark):
     rng = random.Random(4)
     good, bad, mixed = [f"good{i}" for i in range(40)], [f"junk{i}" for i in range(40)], [f"word{i}" for i in range(200)]
@@ -299,6 +323,7 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     from tabulon.llm import registry
 
     for name, fn in registry.queries().items():
@@ -306,9 +331,10 @@ def test_empty_tables(spark, tmp_path):
 
 
 def test_clashing_columns(spark, docs):
-    extra = docs.withColumns({c: F.lit(1) for c in ("id", "fp", "component", "h", "f", "row", "doc", "item", "tokens", "spans", "a", "z")})
+    extra = docs.withColumns({c: F.lit(1) for c in ("id", "_gone", "gone", "dotted.name", "fp", "component", "h", "f", "row", "doc", "item", "tokens", "spans", "a", "z")})
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id bigint, text string")
-    assert simhash.one_of_each(extra).columns == extra.columns
+    assert simhash.one_of_each(extra).columns == similar.one_of_each(extra).columns == extra.columns
+    assert simhash.one_of_each(extra).count() > 0 and similar.one_of_each(extra).count() > 0 and decontaminate.clean(extra, bench).count() > 0 and pii.redacted(extra).count() == docs.count()
     assert decontaminate.clean(extra, bench).columns == extra.columns
     assert pii.redacted(extra).columns == extra.columns
     clash = spark.createDataFrame([(1, "me a@b.co", 9, "x", "y", "z")], "doc_id bigint, text string, n_chars bigint, _old string, _NEW string, _new_ string")
