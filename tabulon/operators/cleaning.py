@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import quantiles
 from ..functions.values import INDEX, col, is_missing, kind, mark_repeats, present, to_number, with_index
 from .profile import Profile, fences, names, outside, simple_type, text_stats, top_typed, z_outside
+from .schema import resolve
 
 
 @dataclass(frozen=True)
@@ -185,9 +186,11 @@ def missing_strategy(type_: str, asked: str | None, all_null: bool) -> str:
     return fallback if all_null and s in ("mean", "median", "mode") else s
 
 
-def missing_report(df: DataFrame, types: dict[str, str], config: MissingConfig = MissingConfig()) -> list[dict]:
-    """A record for each column with missing values: count, ratio, strategy and the value it would fill in."""
-    cols = [c for c in names(df) if c in types]
+def missing_report(df: DataFrame, types, config: MissingConfig = MissingConfig()) -> list[dict]:
+    """A record for each column with missing values: count, ratio, strategy and the value it would fill in. ``types``: a schema in any form
+    (``schema.resolve``); a column that it lacks counts as unknown."""
+    types = resolve(df, types, "unknown").types
+    cols = names(df)
     row = df.agg(F.count("*").alias("n"), *[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     out = []
     for i, c in enumerate(cols):
@@ -209,7 +212,7 @@ def confirmed(config, report: list[dict]) -> str:
     return "auto" if config.auto else "awaiting"
 
 
-def handle_missing(df: DataFrame, types: dict[str, str], config: MissingConfig = MissingConfig()) -> tuple[DataFrame, list[dict], str]:
+def handle_missing(df: DataFrame, types, config: MissingConfig = MissingConfig()) -> tuple[DataFrame, list[dict], str]:
     """Rows go first, then cells are filled with values computed before that."""
     report = missing_report(df, types, config)
     state = confirmed(config, report)
@@ -236,9 +239,19 @@ class OutlierConfig:
     confirm: Callable[[list[dict]], bool] | None = None
 
 
-def outlier_report(df: DataFrame, cols: list[str], config: OutlierConfig = OutlierConfig()) -> list[dict]:
-    """Quartiles, limits, counts and strategy of each column that is read as numbers; here equal quartiles are judged too. Columns with fewer
-    than ``at_least`` numbers are skipped and say so."""
+def numeric_columns(df: DataFrame, schema) -> list[str]:
+    """The columns that an outlier stage judges: those of type numeric in ``schema``, or ``schema`` itself if it is a list of names."""
+    if isinstance(schema, (list, tuple)) and all(isinstance(c, str) for c in schema):
+        if gone := [c for c in schema if c not in df.columns]:
+            raise ValueError(f"no such columns: {gone}")
+        return list(schema)
+    return [c for c, t in resolve(df, schema, "ignore").types.items() if t == "numeric"]
+
+
+def outlier_report(df: DataFrame, cols, config: OutlierConfig = OutlierConfig()) -> list[dict]:
+    """Quartiles, limits, counts and strategy of each column that is read as numbers (names, or the numeric ones of a schema in any form);
+    here equal quartiles are judged too. Columns with fewer than ``at_least`` numbers are skipped and say so."""
+    cols = numeric_columns(df, cols)
     if not cols:
         return []
     found = quantiles(df, cols, (0.25, 0.75))[()]
@@ -283,7 +296,7 @@ def affected(df: DataFrame, report: list[dict]) -> Column:
     return F.coalesce(*marks, F.lit(False)) if marks else F.lit(False)
 
 
-def handle_outliers(df: DataFrame, cols: list[str], config: OutlierConfig = OutlierConfig()) -> tuple[DataFrame, list[dict], str]:
+def handle_outliers(df: DataFrame, cols, config: OutlierConfig = OutlierConfig()) -> tuple[DataFrame, list[dict], str]:
     """Flag, then cap, then drop, with the limits of the report."""
     report = [r for r in outlier_report(df, cols, config) if r["outliers"]]
     state = confirmed(config, report)

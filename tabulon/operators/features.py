@@ -8,10 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
-from ..functions.values import INDEX, col, is_missing, present, to_number, with_index
+from ..functions.values import INDEX, present, to_number, with_index
+from .schema import resolve
 
 MAX_LEVELS = 100
-SCALERS = ("standard", "minmax", "robust", "none")
+# Names of scalers and encoders, without regard to case.
+SCALERS = {"standard": "standard", "standardscaler": "standard", "minmax": "minmax", "minmaxscaler": "minmax", "robust": "robust", "robustscaler": "robust", "none": "none"}
+ENCODERS = {"onehot": "onehot", "one_hot": "onehot", "label": "ordinal", "ordinal": "ordinal", "labelencoder": "ordinal"}
+
+
+def scaler_name(name: str) -> str:
+    if (found := SCALERS.get(name.strip().lower().replace("-", ""))) is None:
+        raise ValueError(f"unknown scaler: {name}")
+    return found
+
+
+def encoder_name(name: str) -> str:
+    if (found := ENCODERS.get(name.strip().lower().replace("-", "_"))) is None:
+        raise ValueError(f"unknown encoder: {name}")
+    return found
 
 
 @dataclass(frozen=True)
@@ -30,6 +45,7 @@ class Encoded:
     column: str
     method: str  # onehot or ordinal
     levels: tuple[str, ...] = ()
+    asked: str | None = None  # the method asked for, where that had too many levels
 
     def outputs(self) -> list[str]:
         return [f"{self.column}_{v}" for v in self.levels] if self.method == "onehot" else [self.column]
@@ -40,19 +56,48 @@ class FeatureMap:
     numeric: list[Scaled] = field(default_factory=list)
     categorical: list[Encoded] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
-    skipped: dict[str, str] = field(default_factory=dict)
+    skipped: dict[str, str] = field(default_factory=dict)  # column: reason
+    types: dict[str, str] = field(default_factory=dict)  # of all columns
+    warnings: list[str] = field(default_factory=list)
 
     def names(self) -> list[str]:
         return [s.column for s in self.numeric] + [n for e in self.categorical for n in e.outputs()]
 
+    def describe(self) -> dict[str, dict]:
+        """What became of each source column: its type, transformation, processor with its fitted state, and the features it gave."""
+        out = {s.column: {"source_type": "numeric", "transformation": "scaled", "processor": s.method, "state": {"centre": s.centre, "scale": s.width}, "output_features": [s.column], "skipped": False} for s in self.numeric}
+        for e in self.categorical:  # levels of a coded column may be too many for the driver: they stay a table (``ordinal_levels``)
+            out[e.column] = {"source_type": "categorical", "transformation": "encoded", "processor": e.method, "categories": list(e.levels), "fallback": e.asked is not None, "output_features": e.outputs(), "skipped": False}
+        for c in self.text:
+            out[c] = {"source_type": "text", "transformation": "passthrough", "processor": None, "output_features": [], "skipped": False}
+        for c, why in self.skipped.items():
+            out[c] = {"source_type": self.types.get(c, "unknown"), "transformation": "skipped", "processor": None, "output_features": [], "skipped": True, "error": why}
+        return out
+
+    def groups(self) -> dict[str, list[str]]:
+        return {"numeric": sorted(s.column for s in self.numeric), "categorical": sorted(e.column for e in self.categorical), "text": list(self.text), "skipped": list(self.skipped)}
+
+    def provenance(self, spark) -> DataFrame:
+        """(place, feature, source, source_type, processor, level, centre, scale) of each place of the feature array."""
+        rows = [(s.column, s.column, "numeric", s.method, None, float(s.centre), float(s.width)) for s in self.numeric]
+        for e in self.categorical:
+            rows += [(n, e.column, "categorical", e.method, v, None, None) for n, v in zip(e.outputs(), e.levels or (None,), strict=True)] if e.outputs() else []
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place int, feature string, source string, source_type string, processor string, level string, centre double, scale double")
+
+    def text_columns(self, df: DataFrame) -> tuple[list[str], list[str]]:
+        """(columns of the text payload ``df`` to embed, warnings): the declared ones first, in their order; those that ``df`` lacks are left out
+        and others that it has are taken as text, each with a warning. The row index is no text."""
+        there = [c for c in df.columns if c != INDEX]
+        gone, more = [c for c in self.text if c not in there], [c for c in there if c not in self.text]
+        told = ([f"declared text columns are missing: {gone}"] if gone else []) + ([f"columns not declared as text are taken as text: {more}"] if more and self.text else [])
+        return [c for c in self.text if c in there] + more, told
+
 
 def fit_scalers(df: DataFrame, cols: list[str], method: str = "standard", overrides: dict[str, str] | None = None) -> tuple[list[Scaled], dict[str, str]]:
     """(scalers, columns skipped and why). Population deviation; constant columns scale to 0; a missing or unreadable value skips its column."""
     if not cols:
         return [], {}
-    how = {c: (overrides or {}).get(c, method) for c in cols}
-    if unknown := set(how.values()) - set(SCALERS):
-        raise ValueError(f"unknown scalers: {sorted(unknown)}")
+    how = {c: scaler_name((overrides or {}).get(c, method)) for c in cols}
     x = {c: to_number(df, c) for c in cols}
     rows = dict(zip(cols, df.agg(*[F.struct(F.count_if(v.isNull()), F.avg(v), F.stddev_pop(v), F.min(v), F.max(v)) for v in x.values()]).first(), strict=True))
     skipped = {c: "missing or unreadable values" for c, r in rows.items() if r[0] or r[1] is None}
@@ -74,13 +119,14 @@ def fit_encoders(df: DataFrame, cols: list[str], method: str = "onehot", overrid
         return []
     text = {c: present(df, c).cast("string") for c in cols}
     sizes = dict(zip(cols, df.agg(*[F.count_distinct(t) for t in text.values()]).first(), strict=True))
-    how = {c: "ordinal" if (overrides or {}).get(c, method) == "ordinal" or sizes[c] > max_levels else "onehot" for c in cols}
+    asked = {c: encoder_name((overrides or {}).get(c, method)) for c in cols}
+    how = {c: "ordinal" if sizes[c] > max_levels else m for c, m in asked.items()}
     few = [c for c in cols if how[c] == "onehot"]
     levels: dict[str, list[str]] = {c: [] for c in cols}
     if few:  # max_levels values a column at most
         for r in df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), text[c].alias("v")) for c in few])).alias("x")).select("x.*").where("v is not null").distinct().collect():
             levels[r["c"]].append(r["v"])
-    return [Encoded(c, how[c], tuple(sorted(levels[c]))) for c in cols]
+    return [Encoded(c, how[c], tuple(sorted(levels[c])), None if how[c] == asked[c] else asked[c]) for c in cols]
 
 
 def one_hot(df: DataFrame, e: Encoded) -> list[Column]:
@@ -103,11 +149,16 @@ def ordinal_levels(df: DataFrame, c: str) -> DataFrame:
     return with_index(levels.orderBy("level")).select("level", F.col(INDEX).alias("code"))
 
 
-def fit(df: DataFrame, types: dict[str, str], scaler: str = "standard", encoder: str = "onehot", scalers: dict[str, str] | None = None, encoders: dict[str, str] | None = None, text: bool = True, max_levels: int = MAX_LEVELS) -> FeatureMap:
-    of = lambda t: [c for c in df.columns if types.get(c) == t]
+def fit(df: DataFrame, types, scaler: str = "standard", encoder: str = "onehot", scalers: dict[str, str] | None = None, encoders: dict[str, str] | None = None, text: bool = True, max_levels: int = MAX_LEVELS, infer: bool = True) -> FeatureMap:
+    """``types``: a schema in any form (``schema.resolve``). Columns that it lacks are inferred, or skipped without ``infer``."""
+    typed = resolve(df, types, "infer" if infer else "ignore")
+    of = lambda t: [c for c in df.columns if typed.types.get(c) == t]
     numeric, skipped = fit_scalers(df, of("numeric"), scaler, scalers)
-    skipped |= {c: f"type {types.get(c, 'unknown')}" for c in df.columns if types.get(c) not in ("numeric", "categorical", "text")}
-    return FeatureMap(numeric, fit_encoders(df, of("categorical"), encoder, encoders, max_levels), of("text") if text else [], skipped)
+    told = typed.warnings + [f"column {c!r} was skipped: {why}" for c, why in skipped.items()]
+    skipped |= {c: f"type {typed.types.get(c, 'unknown')}" for c in df.columns if typed.types.get(c) not in ("numeric", "categorical", "text")}
+    encoded = fit_encoders(df, of("categorical"), encoder, encoders, max_levels)
+    told += [f"column {e.column!r} has more than {max_levels} levels and is coded" for e in encoded if e.asked]
+    return FeatureMap(numeric, encoded, of("text") if text else [], skipped, typed.types, told)
 
 
 def apply(df: DataFrame, fm: FeatureMap, to: str = "features") -> DataFrame:
@@ -119,14 +170,3 @@ def apply(df: DataFrame, fm: FeatureMap, to: str = "features") -> DataFrame:
     for e in fm.categorical:
         parts += one_hot(df, e) if e.method == "onehot" else [F.col(f"_code{ordinal.index(e)}")]
     return df.withColumn(to, F.array(*[p.cast("double") for p in parts]) if parts else F.array().cast("array<double>")).drop(*[f"_code{i}" for i in range(len(ordinal))])
-
-
-def complete(df: DataFrame, cols: list[str]) -> Column:
-    """No column of ``cols`` is missing."""
-    out = F.lit(True)
-    for c in cols:
-        out &= ~is_missing(df, c)
-    return out
-
-
-__all__ = ["Encoded", "FeatureMap", "Scaled", "apply", "col", "complete", "fit", "fit_encoders", "fit_scalers", "one_hot", "ordinal_levels", "with_ordinal"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import INDEX, is_missing
 from ..operators import charts, cleaning, clustering, embedding, features, latent, profile, schema
+from . import pipeline as run_plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,12 +120,31 @@ def column_roles(spark, sf_dir):
     return spark.createDataFrame(rows, '`column` string, type string, role string')
 
 
-@query()
+_TIMES = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d', '%Y/%m/%d', '%d/%m/%Y', '%m/%d/%Y', '%d.%m.%Y']"
+_MEASURED = """SELECT '{c}' AS c, count(*) - count(v) AS missing, count(DISTINCT v) AS u, count(DISTINCT v) / count(v) AS share, avg(length(v)) AS len, avg(len(regexp_extract_all(v, '[^\\s]+'))) AS words, avg((length(v) >= 20)::INT) AS long,
+avg(regexp_matches(replace(v, ',', ''), '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$')::INT) AS num, avg((try_strptime(v, """ + _TIMES + """) IS NOT NULL)::INT) AS tim FROM (SELECT trim({c}) AS v FROM documents)"""
+_TYPED = f"""WITH m AS ({" UNION ALL ".join(_MEASURED.format(c=c) for c in TEXTS)}), s AS (SELECT *, 0.35 * (len >= 25)::INT + 0.25 * (words >= 3)::INT + 0.2 * (long >= 0.3)::INT + 0.2 * (share >= 0.3)::INT AS score,
+0.3 + 0.35 * (share <= 0.05)::INT + 0.2 * (u <= 50)::INT + 0.1 * (len < 25)::INT + 0.05 * (words < 3)::INT AS plain FROM m)
+SELECT c AS "column", CASE WHEN num >= 0.95 THEN 'numeric' WHEN tim >= 0.95 THEN 'categorical' WHEN score >= 0.55 THEN 'text' ELSE 'categorical' END AS type,
+round(CASE WHEN num >= 0.95 THEN num WHEN tim >= 0.95 THEN tim WHEN score >= 0.55 THEN score ELSE plain END, 4)::DOUBLE AS confidence, missing::BIGINT AS missing, u::BIGINT AS n_unique FROM s"""
+
+
+@query(_TYPED + " UNION ALL " + _per_column("documents", ["doc_id", "n_chars"], "'{c}', 'numeric', 0.99::DOUBLE, (count(*) - count({c}))::BIGINT, count(DISTINCT {c})::BIGINT"))
 def semantic_types(spark, sf_dir):
     found = schema.detect(table(spark, sf_dir, "documents"))
     return spark.createDataFrame([(c.name, c.type, float(c.confidence), c.missing, c.unique) for c in found], "`column` string, type string, confidence double, missing bigint, n_unique bigint")
 
 
+_LACKING = """SELECT '{c}' AS "column", CASE WHEN avg(length(trim({c}))) >= 25 AND avg(len(regexp_extract_all({c}, '[^\\s]+'))) >= 3 AND count(DISTINCT trim({c})) / count({c}) >= 0.3 THEN 'text' ELSE 'categorical' END AS type, TRUE AS inferred FROM documents"""
+
+
+@query(" UNION ALL ".join(_LACKING.format(c=c) for c in TEXTS) + " UNION ALL SELECT 'n_chars', 'numeric', TRUE UNION ALL SELECT 'doc_id', 'unknown', FALSE")
+def untyped_columns(spark, sf_dir):
+    """A schema that types one column, and that wrongly: the others are inferred."""
+    found = schema.resolve(table(spark, sf_dir, "documents"), {"columns": [{"name": "doc_id", "inferred_type": "identifier"}]})
+    return spark.createDataFrame([(c, t, c in found.inferred) for c, t in found.types.items()], "`column` string, type string, inferred boolean")
+
+
 @query("""SELECT 'props' AS "column", 0.0 AS number_ratio, 0.0 AS time_ratio UNION ALL SELECT 'as_text', avg(CASE WHEN try_cast(v AS DOUBLE) IS NOT NULL THEN 1.0 ELSE 0.0 END), 0.0 FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE value::VARCHAR END AS v FROM events) UNION ALL SELECT 'day', 0.0, 1.0""")
 def parse_ratios(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("props", F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("as_text"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
@@ -253,6 +273,13 @@ def missing_report(spark, sf_dir):
     return spark.createDataFrame([(r["column"], r["type"], r["missing"], r["strategy"]) for r in found], "`column` string, type string, missing bigint, strategy string")
 
 
+@query(f"SELECT 'value' AS \"column\", 'numeric' AS type, count_if(value IS NULL)::BIGINT AS missing, 'median' AS strategy FROM {GAPPY} UNION ALL SELECT 'event_type', 'unknown', count_if(event_type IS NULL)::BIGINT, 'drop_rows' FROM {GAPPY}")
+def missing_report_untyped(spark, sf_dir):
+    """A column that the schema lacks counts as unknown, so its rows would go."""
+    found = cleaning.missing_report(gappy_events(spark, sf_dir), [{"name": "value", "type": "Numeric "}], cleaning.MissingConfig(strategies={"numeric": "median"}))
+    return spark.createDataFrame([(r["column"], r["type"], r["missing"], r["strategy"]) for r in found], "`column` string, type string, missing bigint, strategy string")
+
+
 # Plans
 
 def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +328,10 @@ def cleaning_impact(spark, sf_dir):
     return spark.createDataFrame([tuple(found[k] for k in ("rows", "duplicates", "filled", "outliers", "removed"))], "rows bigint, duplicates bigint, filled bigint, outliers bigint, removed bigint")
 
 
-@query("SELECT 'region' AS dropped")
+_REPEATED = "(SELECT event_type, CASE WHEN event_id % 7 <> 0 THEN round(value, 0) END AS value, 'EU' AS region FROM events)"
+
+
+@query(f"SELECT c AS dropped FROM ({_per_column(_REPEATED, ['event_type', 'value', 'region'], chr(39) + '{c}' + chr(39) + ' AS c, count(DISTINCT {c}) AS u')}) WHERE u <= 1")
 def drop_constant_columns(spark, sf_dir):
     out = cleaning.apply_plan(repeated_events(spark, sf_dir), cleaning.Plan(duplicates="keep"))
     return spark.createDataFrame([(c,) for c in out.report["dropped_columns"]], "dropped string")
@@ -342,6 +372,18 @@ def onehot_fallback(spark, sf_dir):
     return features.with_ordinal(df, "k", "code").select("o_orderkey", "code")
 
 
+_STATE = {"c_acctbal": ("standard", "avg({c})", "stddev_pop({c})"), "c_nationkey": ("minmax", "min({c})::DOUBLE", "(max({c}) - min({c}))::DOUBLE")}
+
+
+@query("SELECT (row_number() OVER (ORDER BY part, feature) - 1)::INT AS place, feature, source, source_type, processor, level, round(centre, 5) AS centre, round(scale, 5) AS scale FROM ("
+       + " UNION ALL ".join(f"SELECT {i} AS part, '{c}' AS feature, '{c}' AS source, 'numeric' AS source_type, '{how}' AS processor, NULL AS level, {a.format(c=c)} AS centre, {b.format(c=c)} AS scale FROM customer" for i, (c, (how, a, b)) in enumerate(_STATE.items()))
+       + " UNION ALL SELECT DISTINCT 2, 'c_mktsegment_' || c_mktsegment, 'c_mktsegment', 'categorical', 'onehot', c_mktsegment, NULL, NULL FROM customer)")
+def feature_provenance(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_acctbal", "c_nationkey", "c_mktsegment")
+    fm = features.fit(df, {"c_acctbal": "numeric", "c_nationkey": "numeric"}, "StandardScaler", "one-hot", scalers={"c_nationkey": "min-max"})
+    return rounded(fm.provenance(spark), "centre", "scale")
+
+
 # Text and vectors
 
 @query("SELECT conv_id, turn, trim(role) || ' | ' || trim(text) AS merged FROM conversations WHERE trim(text) <> '' AND trim(role) <> ''")
@@ -420,9 +462,23 @@ def cluster_labels(spark, sf_dir):
     return clustering.labelled(df, clustering.fit_kmeans(df, 4, "embedding"), "embedding").select("vec_id", "cluster_label")
 
 
-@query("SELECT * FROM (VALUES (1, 1), (2, 1), (3, 1), (4, 2), (8, 4), (10, 5), (16, 8), (20, 9), (64, 16), (100, 20), (400, 40), (1000, 63)) t(d, latent)")
+#: Columns of each table that become features: numbers, then categories.
+_WIDE = {"customer": (["c_acctbal"], ["c_mktsegment"]), "orders": (["o_totalprice"], ["o_orderstatus", "o_orderpriority"]), "part": (["p_size", "p_retailprice"], ["p_brand", "p_type"]), "lineitem": (LINE, ["l_returnflag", "l_linestatus"])}
+_WIDTHS = " UNION ALL ".join([f"SELECT '{t}' AS \"table\", {len(n)} + {' + '.join(f'count(DISTINCT {c})' for c in k)} AS d FROM {t}" for t, (n, k) in _WIDE.items()] + ["SELECT 'embeddings', max(len(embedding)) FROM embeddings"])
+
+
+@query(f"""WITH w AS ({_WIDTHS}), c AS (SELECT *, greatest(1, least(128, d // 2)) AS cap FROM w), z AS (SELECT *, CASE WHEN d <= 1 THEN 1 ELSE least(greatest(round(2 * sqrt(d)), least(8, cap)), cap) END::INT AS latent FROM c),
+n AS (SELECT *, CASE WHEN d <= latent + 1 THEN 0 ELSE least(3, greatest(1, floor(log2(d / latent)))) END::INT AS n FROM z)
+SELECT "table", d::INT AS d, latent, coalesce(array_to_string(list_reverse_sort(list_distinct([x FOR x IN [round(d * pow(latent / d, i / (n + 1)))::INT FOR i IN range(1, n + 1)] IF x > latent AND x < d])), ','), '') AS hidden FROM n""")
 def latent_sizes(spark, sf_dir):
-    return spark.createDataFrame([(d, latent.latent_size(d)) for d in (1, 2, 3, 4, 8, 10, 16, 20, 64, 100, 400, 1000)], "d int, latent int")
+    """The network that each table's features would get."""
+    out = []
+    for t, (numbers, categories) in _WIDE.items():
+        df = table(spark, sf_dir, t).select(*numbers, *categories)
+        out.append((t, len(features.fit(df, dict.fromkeys(numbers, "numeric") | dict.fromkeys(categories, "categorical")).names())))
+    out.append(("embeddings", table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0]))
+    sizes = [(t, d, latent.latent_size(d)) for t, d in out]
+    return spark.createDataFrame([(t, d, z, ",".join(map(str, latent.hidden_sizes(d, z)))) for t, d, z in sizes], "`table` string, d int, latent int, hidden string")
 
 
 @query()
@@ -509,3 +565,17 @@ def missing_chart(spark, sf_dir):
 @query()
 def plot_sample(spark, sf_dir):
     return charts.plot_sample(table(spark, sf_dir, "events"), key="event_id").select("event_id", "value")
+
+
+# The whole run
+
+@query()
+def analysis(spark, sf_dir):
+    """All stages over the customers, with the defaults: each one's point in the latent space and segment."""
+    config = run_plan.Config(roles={"c_custkey": "metadata", "c_name": "metadata"})
+    return run_plan.run(table(spark, sf_dir, "customer"), config).table.select("c_custkey", F.transform("latent", lambda x: F.round(x, 6)).alias("latent"), "cluster_label")
+
+
+@query()
+def latent_scatter(spark, sf_dir):
+    return charts.latent_scatter(table(spark, sf_dir, "embeddings"), "embedding", "label", "vec_id")
