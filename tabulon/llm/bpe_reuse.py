@@ -1,17 +1,21 @@
 """BPE encoding and decoding by content-defined chunk reuse.
 
 A gear hash over a text's code points cuts it where the hash of the last WINDOW code points ends in zeros, so a passage that documents
-share falls into the same chunks wherever it stands. A chunk is encoded once and remembered with three parts: what stands before its
-first space, the ids between its first and last space, and what stands after the last. The tokenizer drops white space and no token
-crosses it, so the middle is right in any document. A cut may fall inside a word; the words at a join are re-encoded over a stretch that
-grows to the next space on either side, where the re-encoded ids and the chunks' own agree exactly.
+share falls into the same chunks wherever it stands. A chunk is encoded once, as one string: what lies from its first space up to its last.
+What is left at a join (the end of one chunk and the start of the next) is encoded together with a word of the chunk before and a word of
+the chunk behind. The ids of these words must be those with which the chunks end and begin; if they are not, the stretch grows to 2, 4, 8
+words, and a text whose chunks are used up without agreement is encoded whole. So the result is that of the tokenizer for any tokenizer to
+which a space before a word is a boundary, and a tokenizer that sees more than a word has its joins grown.
 
-The memory of chunks is bounded for each Python worker and cleared when full; clearing costs time only. Null counts as empty: no ids."""
+Chunks and joins are remembered for each Python worker, up to MAX_CHARS of text, then forgotten; that costs time only. Null counts as empty:
+no ids. Repeated rows and ids stay, each with its own result; an empty table gives no rows; texts of any length are cut in chunks, those
+without a space are encoded whole. Other columns are not read, whatever their names."""
 
 from __future__ import annotations
 
 import hashlib
 import os
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import slices, table, texts
 
 WINDOW, MASK = 32, (1 << 8) - 1
-MAX_WORDS, MAX_CHUNK_CHARS = 150_000, 8 << 20
+MAX_CHARS = 12 << 20
 _GEAR = np.random.default_rng(20_240_229).integers(1, 1 << 32, 256, dtype=np.uint32)
 _GEAR[0] = 0
 
@@ -49,8 +53,37 @@ def chunked(batch: list[str]) -> list[list[str]]:
     return out
 
 
+def last_words(text: str, k: int) -> str:
+    """The last ``k`` words, each with the space before it; all of ``text`` if it has fewer."""
+    at = len(text)
+    for _ in range(k):
+        at = text.rfind(" ", 0, at)
+        if at <= 0:
+            return text
+    return text[at:]
+
+
+def first_words(text: str, k: int) -> str:
+    at = 0
+    for _ in range(k):
+        at = text.find(" ", at + 1)
+        if at < 0:
+            return text
+    return text[:at]
+
+
+class Chunk:
+    """A chunk with spaces: ``head``, up to the first, ``body``, encoded, and ``tail``, from the last."""
+
+    __slots__ = ("body", "head", "ids", "said", "tail")
+
+    def __init__(self, text: str):
+        a, b = text.find(" "), text.rfind(" ")
+        self.head, self.body, self.tail = text[:a], text[a:b], text[b:]
+
+
 class Reuse:
-    """Encodes texts; remembers words and chunks."""
+    """Encodes texts; remembers chunks and joins."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,67 +92,90 @@ class Reuse:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.ids: dict[str, bytes] = {"": b""}
-        self.said: dict[str, str] = {"": ""}
-        self.chunks: dict[str, tuple] = {}
-        self.chars = self.n_encoded = self.n_reused = 0
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > MAX_WORDS:
-            self.ids, self.said = {"": b""}, {"": ""}
-            new = list(words)
-        ids = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        for w, own, said in zip(new, ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True):
-            self.ids[w], self.said[w] = np.array(own, "<u4").tobytes(), said
+        # without a decoder the tokens are joined by spaces, so that chunks can be decoded once, too
+        self.tokens = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())] if self.tok.decoder is None else None
+        self.chunks: dict[str, Chunk | None] = {}
+        self.joins: dict[tuple, tuple] = {}
+        self.chars = self.n_encoded = self.n_reused = self.n_grown = self.n_whole = 0
+
+    def said(self, ids: list[int]) -> str:
+        return "" if self.tokens is None else " ".join(map(self.tokens.__getitem__, ids))
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes the chunks ``new``, each once."""
+        made = {c: Chunk(c) if c.find(" ") < c.rfind(" ") else None for c in new}
+        some = [c for c in made.values() if c is not None]
+        for c, e in zip(some, self.tok.encode_batch_fast([c.body for c in some], add_special_tokens=False), strict=True):
+            ids = e.ids
+            c.ids, c.said = np.array(ids, "<u4").tobytes(), self.said(ids)
+        self.chunks |= made
+        self.chars += sum(map(len, new))
+        self.n_encoded += len(some)
+
+    def gaps(self, doc: list[str]) -> list[tuple[Chunk | None, str, Chunk | None]]:
+        """What is left between the bodies of the chunks of a text, before the first and behind the last."""
+        out, before, open_ = [], None, []
+        for text in doc:
+            c = self.chunks[text]
+            if c is None:
+                open_.append(text)
+            else:
+                out.append((before, "".join([*open_, c.head]), c))
+                before, open_ = c, [c.tail]
+        return [*out, (before, "".join(open_), None)]
+
+    def join(self, gaps: list[tuple[Chunk | None, str, Chunk | None]]) -> list[tuple[bytes, str] | None]:
+        """(ids, decoded) of each gap, or None where no agreement is found."""
+        out: list[tuple[bytes, str] | None] = [None] * len(gaps)
+        k, left = 1, range(len(gaps))
+        while left:
+            keys = {}
+            for i in left:
+                a, core, b = gaps[i]
+                keys[i] = (last_words(a.body, k) if a else "", core, first_words(b.body, k) if b else "")
+            new = list(dict.fromkeys(x for x in keys.values() if x not in self.joins))
+            for key, e in zip(new, self.tok.encode_batch(["".join(x) for x in new], add_special_tokens=False), strict=True):
+                at, ids = e.offsets, e.ids
+                n = bisect_right(at, len(key[0]), key=lambda x: x[1])
+                m = bisect_left(at, len(key[0]) + len(key[1]), key=lambda x: x[0])
+                raw = np.array(ids, "<u4").tobytes()
+                self.joins[key] = (raw[: 4 * n], raw[4 * n : 4 * m], raw[4 * m :], self.said(ids[n:m])) if n <= m else None
+                self.chars += sum(map(len, key))
+            more = []
+            for i, key in keys.items():
+                a, _, b = gaps[i]
+                found = self.joins[key]
+                if found and (a is None or (found[0] and a.ids.endswith(found[0]))) and (b is None or (found[2] and b.ids.startswith(found[2]))):
+                    out[i] = (found[1], found[3])
+                elif (a and len(key[0]) < len(a.body)) or (b and len(key[2]) < len(b.body)):
+                    more.append(i)
+            self.n_grown += len(more)
+            k, left = 2 * k, more
+        return out
 
     def encode(self, batch: list[str]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
-        if self.chars > MAX_CHUNK_CHARS:
-            self.chunks, self.chars = {}, 0
+        if self.chars > MAX_CHARS:
+            self.chunks, self.joins, self.chars = {}, {}, 0
         docs = chunked(batch)
-        new = {c for d in docs for c in d if c not in self.chunks}
-        split = {c: c.split(" ") for c in new}
-        words = {w for s in split.values() if len(s) > 2 for w in s[1:-1]}
-        joins = []
-        for d in docs:
-            own, open_ = [], []
-            for c in d:
-                s = split.get(c)
-                known = None if s is not None else self.chunks[c]
-                if (len(s) if s is not None else known[0]) == 1:
-                    open_.append(c)
-                    continue
-                head, tail = (s[0], s[-1]) if s is not None else (known[1], known[2])
-                own.append("".join([*open_, head]))
-                open_ = [tail]
-            own.append("".join(open_))
-            joins.append(own)
-            words.update(own)
-        self.learn(words)
-        ids, said = self.ids.__getitem__, self.said.__getitem__
-        for c, s in split.items():
-            if len(s) == 1:
-                self.chunks[c] = (1,)
-            else:
-                mid = s[1:-1]
-                self.chunks[c] = (len(s), s[0], s[-1], b"".join(map(ids, mid)), " ".join(filter(None, map(said, mid))))
-            self.chars += len(c)
-        self.n_encoded += len(new)
+        new = [c for c in dict.fromkeys(c for d in docs for c in d) if c not in self.chunks]
+        self.learn(new)
         self.n_reused += sum(map(len, docs)) - len(new)
+        gaps = [self.gaps(d) for d in docs]
+        joined = iter(self.join([g for own in gaps for g in own]))
         out = []
-        for d, own in zip(docs, joins, strict=True):
-            raw, text, k = [], [], 0
-            for c in d:
-                known = self.chunks[c]
-                if known[0] == 1:
-                    continue
-                raw += [ids(own[k]), known[3]]
-                text += [said(own[k]), known[4]]
-                k += 1
-            raw.append(ids(own[k]))
-            text.append(said(own[k]))
-            out.append((b"".join(raw), " ".join(filter(None, text))))
+        for text, own in zip(batch, gaps, strict=True):
+            parts = []
+            for (_, _, chunk), found in zip(own, [next(joined) for _ in own], strict=True):
+                parts.append(found)
+                if chunk is not None:
+                    parts.append((chunk.ids, chunk.said))
+            if None in parts:
+                ids = self.tok.encode(text, add_special_tokens=False).ids
+                parts = [(np.array(ids, "<u4").tobytes(), self.said(ids))]
+                self.n_whole += 1
+            raw = b"".join(x for x, _ in parts)
+            out.append((raw, " ".join(filter(None, (x for _, x in parts))) if self.tokens is not None else self.tok.decode(np.frombuffer(raw, "<u4").tolist(), skip_special_tokens=False)))
         return out
 
 
@@ -151,7 +207,21 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * full
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def chunk_report(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(n_chunks, n_distinct, n_chars, distinct_chars) of all texts: what reuse could save at best. Chunks are told apart by 128-bit digests."""
+
+    def run(batches):
+        for batch in batches:
+            some = texts(batch.column(0))
+            for a, b in slices(some):
+                own = [c for d in chunked(some[a:b]) for c in d]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(c.encode(), digest_size=16).digest() for c in own], pa.binary()), pa.array([len(c) for c in own], pa.int64())], ["d", "n"])
+
+    each = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "d binary, n bigint").groupBy("d").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    return each.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_chunks"), F.count("*").alias("n_distinct"), F.coalesce(F.sum(F.col("k") * F.col("n")), F.lit(0)).alias("n_chars"), F.coalesce(F.sum("n"), F.lit(0)).alias("distinct_chars"))
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
