@@ -1,11 +1,13 @@
 """Media columns: lossless 8-bit audio and features of it.
 
 Bytes become the samples of an unsigned 8-bit mono WAV, stored in a Parquet table of the shared folder and read back. Features: polyphase
-resampling to a lower rate, log-mel energies of overlapped frames, and segments found by hysteresis on frame energy. The mel frames go
-into fixed-shape tensors of TENSOR_FRAMES x MELS with their time spans, the last one padded with its floor.
+resampling to two thirds of the rate, log-mel energies of overlapped frames, and segments found by hysteresis on frame energy. The mel
+frames go into fixed-shape Arrow tensors of TENSOR_FRAMES x MELS with their time spans, the last one padded with its floor. Spark has no such
+type, so a document's tensors are stored as one Arrow stream in a binary column; what is said of them is computed from the stream read back.
 
 Null text counts as empty. Texts are padded with 255 to a positive multiple of UNIT, so no payload is empty. Equal texts give equal
-values, as every number is computed from the document alone. Repeated rows stay; an empty table gives no rows."""
+values, as every number is computed from the document alone. Repeated rows and ids stay; an empty table gives no rows. Long texts are framed
+in blocks, so that beside the text and its tensors (a third of its size) little memory is held. Other columns are not read, whatever their names."""
 
 from __future__ import annotations
 
@@ -18,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, saved, table, utf8
+from .common import arrow_map, new_path, table, utf8
 
-UNIT, RATE, UP, DOWN, TAPS = 576, 16_000, 1, 2, 16
+UNIT, RATE, UP, DOWN, TAPS = 576, 16_000, 2, 3, 16
 FRAME, HOP, MELS, TENSOR_FRAMES = 256, 128, 20, 32
 #: A segment opens where the frame energy rises over OPEN times its mean and closes where it falls below CLOSE times.
 OPEN, CLOSE = 1.02, 0.98
@@ -51,15 +53,15 @@ def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) ->
     """Polyphase: each output sample takes the one phase of the filter that meets input samples."""
     phases = resample_filter(up, down, taps)
     n_out = -(-len(x) * up // down)
-    padded = np.concatenate([np.zeros(taps - 1, np.float32), x.astype(np.float32), np.zeros(taps, np.float32)])
+    padded = np.concatenate([np.zeros(taps - 1, np.float32), x.astype(np.float32), np.zeros(taps + down, np.float32)])
     out = np.empty(n_out, np.float32)
     for first in range(up):  # outputs that share a phase are evenly spaced
-        k = np.arange(first, n_out, up)
-        at, phase = k * down // up, (first * down) % up
-        acc = np.zeros(len(k), np.float32)
+        n = len(range(first, n_out, up))
+        at, phase = first * down // up + taps - 1, (first * down) % up
+        acc = np.zeros(n, np.float32)
         for j in range(taps):
-            acc += phases[phase, j] * padded[at + taps - 1 - j]
-        out[k] = acc
+            acc += phases[phase, j] * padded[at - j : at - j + n * down : down][:n]
+        out[first::up] = acc
     return out
 
 
@@ -119,52 +121,95 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 raw = utf8(batch.column(1).slice(a, 256))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array([len(x) for x in raw]), pa.array([wav(padded(x)) for x in raw], pa.binary())], ["id", "n_bytes", "media"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary")
+    out = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, media binary")
     spark = docs.sparkSession
-    from .common import new_path
-
     path = new_path(spark, "media")
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(out.schema).parquet(path).withColumnRenamed("id", id_col)
 
 
-def extract(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, tensor, from_s, to_s, log_mel: TENSOR_FRAMES x MELS floats in row order, segments: spans in seconds that overlap it)."""
+def tensor_type() -> pa.FixedShapeTensorType:
+    """The Arrow type of ``log_mel``."""
+    return pa.fixed_shape_tensor(pa.float32(), [TENSOR_FRAMES, MELS])
+
+
+def tensor_stream(mel: np.ndarray, found: np.ndarray, step: float) -> bytes:
+    """An Arrow stream, a row a tensor: log_mel (tensor_type), frames that are not padding, time span, segments that overlap it."""
+    t, spans = tensors(mel, step)
+    first, last = (found * step).T if len(found) else (np.empty(0), np.empty(0))
+    # segments are in order and apart from each other: those that overlap a span are a run
+    a, z = np.searchsorted(last, spans[:, 0], "right"), np.searchsorted(first, spans[:, 1], "left")
+    at = np.concatenate([np.arange(i, max(i, j)) for i, j in zip(a, z, strict=True)]).astype(np.int64)
+    counts = np.concatenate([[0], np.cumsum(np.maximum(z - a, 0))]).astype(np.int32)
+    own = pa.ListArray.from_arrays(pa.array(counts), pa.StructArray.from_arrays([pa.array(first[at]), pa.array(last[at])], ["from_s", "to_s"]))
+    frames = np.minimum(TENSOR_FRAMES, len(mel) - np.arange(len(t)) * TENSOR_FRAMES).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.FixedShapeTensorArray.from_numpy_ndarray(t), pa.array(frames), pa.array(spans[:, 0]), pa.array(spans[:, 1]), own], ["log_mel", "frames", "from_s", "to_s", "segments"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stream: bytes) -> pa.Table:
+    table = pa.ipc.open_stream(stream).read_all()
+    if table.schema.field("log_mel").type != tensor_type():
+        raise ValueError(f"tensors of another shape: {table.schema.field('log_mel').type}")
+    return table
+
+
+def described(stream: bytes) -> str:
+    """What a document's tensors say: their number and shape, seconds, segments, frames in segments, mean of each mel band."""
+    t = read_tensors(stream)
+    mel = t.column("log_mel").combine_chunks()
+    mel = (mel.chunk(0) if isinstance(mel, pa.ChunkedArray) else mel).to_numpy_ndarray().reshape(-1, MELS)[: sum(t.column("frames").to_pylist())]
+    found = {(s["from_s"], s["to_s"]) for own in t.column("segments").to_pylist() for s in own}
+    step = HOP * DOWN / (RATE * UP)
+    active = sum(round((z - a) / step) for a, z in found)
+    said = ",".join(f"{x:.3f}" for x in np.round(mel.mean(axis=0, dtype=np.float64), 3))
+    return f"tensors={t.num_rows}x{TENSOR_FRAMES}x{MELS};seconds={t.column('to_s')[-1].as_py():.3f};segments={len(found)};active={active};mel={said}"
+
+
+def stored_tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, tensors: an Arrow stream): computed from the media
+    as read, written to the shared folder and read back. ``media`` is a table of ``store``."""
     kind = media.schema[id_col].dataType.simpleString()
-    shape = pa.list_(pa.float32(), TENSOR_FRAMES * MELS)
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensors"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        rows = []
+        for blob in batch.column(2).to_pylist():
+            payload, rate = unwav(blob)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), tensor_stream(*features(payload, rate))))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in zip(*rows, strict=True))], names) if rows else None
+
+    out = arrow_map(media.select(F.col(f"`{id_col}`").alias("id"), "n_bytes", F.col(f"`{media_col}`").alias("media")), run, f"id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, tensors binary")
+    path = new_path(media.sparkSession, "tensors")
+    out.write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema(out.schema).parquet(path).withColumnRenamed("id", id_col)
+
+
+def extract(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """(id, tensor, frames, from_s, to_s, log_mel: TENSOR_FRAMES x MELS floats in row order, segments: spans in seconds that overlap it): a
+    row a tensor, from the stored streams."""
+    stored = stored_tensors(media, id_col, media_col)
+    kind = stored.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for key, blob in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                mel, found, step = features(*unwav(blob))
-                t, spans = tensors(mel, step)
-                own = [[{"from_s": s * step, "to_s": e * step} for s, e in found if s * step < z and e * step > a] for a, z in spans]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([key.as_py()] * len(t), batch.column(0).type), pa.array(np.arange(len(t))), pa.array(spans[:, 0]), pa.array(spans[:, 1]),
-                    pa.FixedSizeListArray.from_arrays(pa.array(t.ravel()), TENSOR_FRAMES * MELS).cast(shape).cast(pa.list_(pa.float32())), pa.array(own, pa.list_(pa.struct([("from_s", pa.float64()), ("to_s", pa.float64())]))),
-                ], ["id", "tensor", "from_s", "to_s", "log_mel", "segments"])
-
-    out = media.select(F.col(id_col).alias("id"), media_col).mapInArrow(run, f"id {kind}, tensor bigint, from_s double, to_s double, log_mel array<float>, segments array<struct<from_s:double,to_s:double>>")
-    return out.withColumnRenamed("id", id_col)
-
+            for i, stream in enumerate(batch.column(1).to_pylist()):
+                t = read_tensors(stream)
+                mel = pa.concat_arrays([c.storage for c in t.column("log_mel").chunks]).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).take(pa.array([0] * t.num_rows)), pa.array(np.arange(t.num_rows)), *(t.column(c).combine_chunks() for c in ("frames", "from_s", "to_s")), mel, t.column("segments").combine_chunks()], ["id", "tensor", "frames", "from_s", "to_s", "log_mel", "segments"])
 
-def tensor_type() -> pa.FixedShapeTensorType:
-    """The Arrow type of ``log_mel``, for readers outside Spark."""
-    return pa.fixed_shape_tensor(pa.float32(), [TENSOR_FRAMES, MELS])
+    out = stored.select(F.col(f"`{id_col}`").alias("id"), "tensors").mapInArrow(run, f"id {kind}, tensor bigint, frames int, from_s double, to_s double, log_mel array<float>, segments array<struct<from_s:double,to_s:double>>")
+    return out.withColumnRenamed("id", id_col)
 
 
 def op10_audio(spark, sf_dir: str) -> DataFrame:
-    media = store(table(spark, sf_dir, "documents"))
+    stored = stored_tensors(store(table(spark, sf_dir, "documents")))
+    facts = stored.columns[:-1]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for n, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            payload, rate = unwav(blob)
-            mel, found, step = features(payload, rate)
-            t, spans = tensors(mel, step)
-            said = np.round(mel.mean(axis=0), 3)
-            feature = f"tensors={len(t)}x{TENSOR_FRAMES}x{MELS};seconds={spans[-1, 1]:.3f};segments={len(found)};active={int((found[:, 1] - found[:, 0]).sum())};mel={','.join(f'{x:.3f}' for x in said)}"
-            rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*rows, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return arrow_map(media.select("doc_id", "n_bytes", "media"), lambda b: run(b) if b.num_rows else None, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([described(x) for x in batch.column(len(facts)).to_pylist()], pa.string())], [*facts, "feature"])
+
+    return arrow_map(stored, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema[:-1]) + ", feature string")
