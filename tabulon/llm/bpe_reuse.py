@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, table, texts
 
-WINDOW, MASK = 32, (1 << 8) - 1
-MAX_CHARS = 12 << 20
+WINDOW, MASK = 32, (1 << 10) - 1
+MAX_CHARS = 24 << 20
 _GEAR = np.random.default_rng(20_240_229).integers(1, 1 << 32, 256, dtype=np.uint32)
 _GEAR[0] = 0
 
