@@ -26,6 +26,8 @@ from .common import slices, table, texts
 
 WINDOW, MASK = 32, (1 << 10) - 1
 MAX_CHARS = 24 << 20
+#: Characters encoded at once: what the tokenizer makes of them stays in a core's cache.
+SLICE_CHARS = 1 << 17
 _GEAR = np.random.default_rng(20_240_229).integers(1, 1 << 32, 256, dtype=np.uint32)
 _GEAR[0] = 0
 
@@ -196,7 +198,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches):
         for batch in batches:
             some = texts(batch.column(1))
-            for a, b in slices(some):
+            for a, b in slices(some, SLICE_CHARS):
                 done = reuse(tokenizer).encode(some[a:b])
                 cols = [
                     batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x, _ in done]), pa.array([hashlib.sha256(x).hexdigest() for x, _ in done]),
