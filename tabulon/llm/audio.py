@@ -7,7 +7,7 @@ type, so a document's tensors are stored as one Arrow stream in a binary column;
 
 Null text counts as empty. Texts are padded with 255 to a positive multiple of UNIT, so no payload is empty. Equal texts give equal
 values, as every number is computed from the document alone. Repeated rows and ids stay; an empty table gives no rows. Long texts are framed
-in blocks, so that beside the text and its tensors (a third of its size) little memory is held. Other columns are not read, whatever their names."""
+in blocks, so that beside the text and its tensors (two fifths of its size) little memory is held. Other columns are not read, whatever their names."""
 
 from __future__ import annotations
 
