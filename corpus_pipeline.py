@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import bpe_reuse, decontaminate, pii, quality, similar
+from tabulon.llm import bpe_reuse, components, decontaminate, pii, quality, similar, simhash
 from tabulon.llm.common import saved, table
 
 
@@ -14,8 +14,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each component of near copies: Jaccard similarity 0.8 or more of five-word shingles."""
-    return similar.one_of_each(docs)
+    """Keeps the least doc_id of each component of near copies. Texts are linked by SimHash, whose fingerprints within three bits the
+    generalised pigeonhole principle finds; edited copies down to a Jaccard similarity of 0.8, of five-word shingles, differ by ten bits
+    on average and are linked by their shingles as well."""
+    return components.one_of_each(docs, "doc_id", [simhash.near_duplicates(docs).select("doc_id", "component"), similar.near_copies(docs)])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
