@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import slices, table, texts
 
 WINDOW, MASK = 32, (1 << 10) - 1
-MAX_CHARS = 24 << 20
+MAX_CHARS = 8 << 20
 #: Characters encoded at once: what the tokenizer makes of them stays in a core's cache.
 SLICE_CHARS = 1 << 17
 _GEAR = np.random.default_rng(20_240_229).integers(1, 1 << 32, 256, dtype=np.uint32)
