@@ -14,8 +14,11 @@ without a space are encoded whole. Other columns are not read, whatever their na
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +87,22 @@ class Chunk:
         self.head, self.body, self.tail = text[:a], text[a:b], text[b:]
 
 
+_BLANKS = re.compile(r"[\t-\r][\t-\r ]*| [\t-\r ]+")  # what \s+ matches in ASCII, but single spaces
+
+
+def ascii_steps(normalizer: dict | None) -> list[Callable[[str], str]] | None:
+    """What a tokenizer's normaliser does to ASCII text, or None where that is nothing or not known."""
+    out: list[Callable[[str], str]] = []
+    for step in normalizer["normalizers"] if normalizer and normalizer["type"] == "Sequence" else [normalizer]:
+        if step and step["type"] == "Lowercase":
+            out.append(str.lower)
+        elif step and step["type"] == "Replace" and (step["pattern"], step["content"]) == ({"Regex": "\\s+"}, " "):
+            out.append(lambda text: _BLANKS.sub(" ", text))
+        elif not step or step["type"] not in ("NFC", "NFD", "NFKC", "NFKD"):
+            return None
+    return out or None
+
+
 class Reuse:
     """Encodes texts; remembers chunks and joins."""
 
@@ -94,6 +113,9 @@ class Reuse:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        spec = json.loads(self.tok.to_str())
+        self.steps, self.normalizer = ascii_steps(spec["normalizer"]), self.tok.normalizer
+        self.added = [t["content"].lower() for t in spec["added_tokens"]]  # these are looked for before or after normalisation
         # without a decoder the tokens are joined by spaces, so that chunks can be decoded once, too
         self.tokens = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())] if self.tok.decoder is None else None
         self.chunks: dict[str, Chunk | None] = {}
@@ -103,13 +125,33 @@ class Reuse:
     def said(self, ids: list[int]) -> str:
         return "" if self.tokens is None else " ".join(map(self.tokens.__getitem__, ids))
 
+    def normalised(self, text: str) -> str | None:
+        """ASCII text as the tokenizer normalises it; None where the tokenizer has to do that."""
+        if not self.steps or not text.isascii():
+            return None
+        for step in self.steps:
+            text = step(text)
+        low = text.lower()
+        return None if any(t in low for t in self.added) else text
+
+    def encoded(self, some: list[tuple[Chunk, str]]) -> None:
+        for (c, _), e in zip(some, self.tok.encode_batch_fast([x for _, x in some], add_special_tokens=False), strict=True):
+            ids = e.ids
+            c.ids, c.said = np.array(ids, "<u4").tobytes(), self.said(ids)
+
     def learn(self, new: list[str]) -> None:
         """Encodes the chunks ``new``, each once."""
         made = {c: Chunk(c) if c.find(" ") < c.rfind(" ") else None for c in new}
         some = [c for c in made.values() if c is not None]
-        for c, e in zip(some, self.tok.encode_batch_fast([c.body for c in some], add_special_tokens=False), strict=True):
-            ids = e.ids
-            c.ids, c.said = np.array(ids, "<u4").tobytes(), self.said(ids)
+        ready = [self.normalised(c.body) for c in some]
+        plain, rest = [(c, x) for c, x in zip(some, ready, strict=True) if x is not None], [(c, c.body) for c, x in zip(some, ready, strict=True) if x is None]
+        self.encoded(rest)
+        if plain:
+            self.tok.normalizer = None
+            try:
+                self.encoded(plain)
+            finally:
+                self.tok.normalizer = self.normalizer
         self.chunks |= made
         self.chars += sum(map(len, new))
         self.n_encoded += len(some)

@@ -101,3 +101,28 @@ def test_report(spark):
     got = bpe_reuse.chunk_report(spark.createDataFrame([(t,) for t in some], "text string")).first()
     want = [c for d in bpe_reuse.chunked([t or "" for t in some]) for c in d]
     assert tuple(got) == (len(want), len(set(want)), sum(map(len, want)), sum(map(len, set(want))))
+
+
+def test_ascii_is_normalised_before_the_tokenizer():
+    """Chunks of ASCII go to the tokenizer without its normaliser, in the same ids; others, and those with an added token, with it."""
+    r = bpe_reuse.Reuse(public_tokenizers.path(NAMES[0]))
+    seen, inner = [], r.tok.encode_batch_fast
+
+    class Spy:
+        def __getattr__(self, a):
+            return getattr(r_tok, a)
+
+        def __setattr__(self, a, x):
+            setattr(r_tok, a, x)
+
+        def encode_batch_fast(self, some, **how):
+            seen.extend((r_tok.normalizer is None, x) for x in some)
+            return inner(some, **how)
+
+    r_tok, r.tok = r.tok, Spy()
+    odd = ["A Plain\t \n Text\x1c of\x0b  WORDS here", "One Word é MORE Words", "Some <|EndOfText|> Words Here", "Some <|endoftext|> Words Here", "a  b \r\n C"]
+    agrees(r, odd)
+    assert r_tok.normalizer is not None
+    assert sorted(bare for bare, _ in seen) == [False] * 3 + [True] * 2
+    assert bpe_reuse.ascii_steps({"type": "Sequence", "normalizers": [{"type": "Lowercase"}, {"type": "StripAccents"}]}) is None
+    assert bpe_reuse.ascii_steps(None) is None
