@@ -16,6 +16,7 @@ import re
 import struct
 import zlib
 from array import array
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .files import attempt_path, one_task_each, opened
 #: (ranks, bits of each) by selector.
 SELECTORS = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 BLOCK, GROUP_IDS, END_ID = 1024, 1 << 19, 2
-MAX_CHUNKS, PACKED_AT_ONCE = 160_000, BLOCK << 8
+MAX_CHUNKS, PACKED_AT_ONCE = 480_000, BLOCK << 8
 _COUNT = np.array([n for n, _ in SELECTORS], np.int64)
 _HEAD = struct.Struct("<4sIQIIQ")
 _NULL = np.iinfo(np.int64).min
@@ -168,6 +169,7 @@ class ChunkIds:
 
     SPLIT = re.compile(r"(?<=\S)\x20(?=\S)")
     WORD = re.compile(r"(\x20?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)\Z")
+    MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
     def __init__(self, path: str, end_id: int | None):
         from tokenizers import Tokenizer
@@ -217,30 +219,41 @@ class ChunkIds:
     def learn(self) -> None:
         """Ids of the chunks noted: letters and marks, the two commonest kinds, are one and two pieces and need no pre-tokenizer."""
         word, model, known, flat, ends = self.WORD.match, self.model.tokenize, self.later, self.flat, self.ends
-        found, other = [], []
+        found, other, plain, n_known, odd = [], [], self.plain, len(self.ends) - 1, bytearray(len(self.todo))
+        own: dict[str, list[int]] = {}  # of the cores met here
         for i, c in enumerate(self.todo):
-            m = word(c) if self.plain else None
-            core, marks = m.groups() if m else (None, None)
+            core = marks = None
+            if plain:
+                core = c.rstrip(self.MARKS)
+                bare = core[1:] if core[:1] == " " else core
+                if bare.isascii() and bare.isalpha():
+                    marks = c[len(core) :]
+                else:
+                    m = word(c)
+                    core, marks = m.groups() if m else (None, None)
             if core is None:
                 other.append(i)
-                found.append(None)
+                found.append(())
                 continue
-            ids = None
-            if marks and core[0] == " " and (n := dict.get(known, core[1:])) is not None and n + 1 < len(ends):
-                ids = flat[ends[n] : ends[n + 1]].tolist()
-            if ids is None:
-                ids = [t.id for t in model(core.encode().decode("latin-1").translate(self.letters))]
+            if (ids := own.get(core)) is None:
+                if marks and core[0] == " " and (n := dict.get(known, core[1:], n_known)) < n_known:
+                    ids = flat[ends[n] : ends[n + 1]].tolist()
+                else:
+                    shown = core.replace(" ", self.letters[32]) if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+                    ids = [t.id for t in model(shown)]
+                own[core] = ids
             if marks:
-                if marks not in self.marks:
-                    self.marks[marks] = self.tok.encode(marks, add_special_tokens=False).ids
-                ids += self.marks[marks]
+                if (after := self.marks.get(marks)) is None:
+                    after = self.marks[marks] = self.tok.encode(marks, add_special_tokens=False).ids
+                ids = ids + after
             found.append(ids)
         for i, e in zip(other, self.tok.encode_batch_fast([self.todo[i] for i in other], add_special_tokens=False), strict=True):
             found[i] = e.ids
-        for c, ids in zip(self.todo, found, strict=True):
-            flat.extend(ids)
-            ends.append(len(flat))
-            self.odd.append(c[-1:].isspace() or c[:1] == " " and c[1:2].isspace())
+            c = self.todo[i]
+            odd[i] = c[-1:].isspace() or c[:1] == " " and c[1:2].isspace()
+        flat.extend(chain.from_iterable(found))
+        ends.extend(islice(accumulate(map(len, found), initial=ends[-1]), 1, None))
+        self.odd += odd
         self.todo = []
 
     def numbers(self, segs: list[str]) -> np.ndarray:

@@ -5,7 +5,7 @@ import tracemalloc
 
 import pytest
 
-from tabulon.llm import bpe_reuse
+from tabulon.llm import bpe_reuse, simple8b
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -23,3 +23,21 @@ def test_remembered_chunks_are_forgotten_early():
     kept = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert most < 10 << 20 < sum(map(len, texts)) and kept < 90 << 20
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow():
+    """Words that are new to a batch and come with several marks go to the tokenizer's model once, in the tokenizer's ids."""
+    memo = simple8b.ChunkIds(public_tokenizers.path("byte_bpe_50k.json"), None)
+    seen, model = [], memo.model
+
+    class Spy:
+        def tokenize(self, word):
+            seen.append(word)
+            return model.tokenize(word)
+
+    memo.model = Spy()
+    texts_ = ["a Zebrafish, a Zebrafish. a Zebrafish's (Zebrafish) a Zebrafish", "Über Über, Über; don't 12 Zebrafish!? \t x  y", ""]
+    ids, sizes = memo.encode(texts_)
+    want = [memo.tok.encode(t, add_special_tokens=False).ids for t in texts_]
+    assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+    assert memo.plain and len(seen) == len(set(seen))
