@@ -80,3 +80,19 @@ def test_planted_passages_of_words(spark):
     rows = [(i, noise(rng, 100) + long_ + noise(rng, 100)) for i in range(3)] + [(10 + i, noise(rng, 60) + short + noise(rng, 60)) for i in range(3)] + [(20, clean)]
     got = {r["doc_id"]: len(r["kept"]) for r in suffixes.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {i: len(t.encode()) - (len(long_.encode()) if i < 10 else 0) for i, t in rows}
+
+
+def test_members_are_not_shuffled_for_the_large_groups(spark):
+    """What goes to smaller groups' tasks is shuffled once; the larger groups' members are told by a broadcast of their few keys, whatever the sizes seem to be."""
+    sizes = {1: 1, 2: 2, 3: 7, 4: 5, 5: 9}
+    members = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g bigint, i bigint")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        few, many, any_many = suffixes._divided(members, members, 5)
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert any_many and sorted(tuple(r) for r in many.collect()) == [(g, i) for g in (3, 5) for i in range(sizes[g])]
+        assert sorted(tuple(r) for r in few.collect()) == [(g, i) for g in (2, 4) for i in range(sizes[g])]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
