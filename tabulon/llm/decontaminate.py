@@ -31,12 +31,21 @@ TOKEN = rf"[\x01\x02]{CAPITALS}|\x03?\p{{L}}+|{NUMBER}"
 SLOTS = ("<num>", "<name>", "<unit>")
 
 
+def _java(pattern: str) -> str:
+    """The pattern as Spark takes it, with the same matches. Java goes a level deeper with each repeat of a group that may have to give some
+    back, so a long run of names or numbers overflows the stack, which ends the executor; possessive groups do not, and nothing that follows
+    here fits what they would give back. A number is tried from its first digit only, white space from its last line end, so time is linear."""
+    first = r"(\p{N}(?<!\p{N}\p{N})(?<!\p{N}[.,]\p{N})\p{N}*+"
+    return pattern.replace(")*", ")*+").replace(r"(\p{N}+", first).replace(r"\n\s*", r"\n[ \t\f\r]*+")
+
+
 def tokens(text: Column) -> Column:
     """Tokens (t: canonical, w: as written) of a text."""
     whole = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x01-\x03]", " ")
-    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, NAME, f"$1{NAMED}$2"), OPENER, f"$1{OPENS}$2"), UNIT, f"$1{MEASURES}$2")
+    named, opens, measures = map(_java, (NAME, OPENER, UNIT))
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, named, f"$1{NAMED}$2"), opens, f"$1{OPENS}$2"), measures, f"$1{MEASURES}$2")
     # names that open a sentence too; bound to a variable, as an expression within the tokens' lambda would be evaluated for each token
-    both = F.array_intersect(F.regexp_extract_all(whole, F.lit(NAME), F.lit(2)), F.regexp_extract_all(whole, F.lit(OPENER), F.lit(2)))
+    both = F.array_intersect(F.regexp_extract_all(whole, F.lit(named), F.lit(2)), F.regexp_extract_all(whole, F.lit(opens), F.lit(2)))
     of = lambda t, w: F.struct(t.alias("t"), w.alias("w"))
     rest = lambda x: F.substr(x, F.lit(2))
     mark = lambda x, m: x.startswith(F.lit(m))
@@ -47,7 +56,7 @@ def tokens(text: Column) -> Column:
         words = F.transform(F.split(rest(x), " "), lambda w: of(F.lower(w), w))
         return F.when(name, one("<name>", rest(x))).when(mark(x, OPENS), words).when(mark(x, MEASURES), one("<unit>", rest(x))).when(x.rlike(r"^\p{N}"), one("<num>", x)).otherwise(F.array(of(F.lower(x), x)))
 
-    cut = F.regexp_extract_all(marked, F.lit(TOKEN), F.lit(0))
+    cut = F.regexp_extract_all(marked, F.lit(_java(TOKEN)), F.lit(0))
     return F.transform(F.array(F.struct(cut.alias("cut"), both.alias("names"))), lambda z: F.flatten(F.transform(z["cut"], lambda x: token(x, z["names"]))))[0]
 
 
